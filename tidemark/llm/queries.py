@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup
+from . import decontamination, line_dedup, packing, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +21,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chunks_removed", "n_chars_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op5_line_dedup)}
-ORACLES: dict[str, str] = {}
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op5_line_dedup, op6_token_counts, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {
+    "op2_exact_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, r.vec_id, list_dot_product(q.e, r.e)::bigint as score from v q, v r where q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+qualify rank <= 5""",
+}
