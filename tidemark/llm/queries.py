@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, packing, quality, token_counts, topk
+from . import decontamination, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its id, what went, and the text that stays."""
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chunks_removed", "n_chars_removed", "text")
@@ -42,7 +46,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op5_line_dedup, op6_token_counts, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op4_secret_scan, op5_line_dedup, op6_token_counts, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
