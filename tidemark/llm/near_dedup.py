@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 REGISTERS = BANDS * ROWS
 #: Share of equal registers from which a pair is verified: 0.8 less five standard deviations of the estimate.
 FLOOR = 0.6
+#: Words that are hashed together.
+WORDS_AT_ONCE = 200_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -78,14 +80,18 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        column = batch.column(1)
-        offsets = np.asarray(column.offsets, dtype=np.int64)
-        values = np.asarray(column.values)[offsets[0] : offsets[-1]]
-        sig = signatures(values, offsets - offsets[0])
-        flat = pa.array(sig.reshape(-1), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, REGISTERS), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["fp", "sig"])
+    for whole in batches:
+        ends = np.asarray(whole.column(1).offsets, dtype=np.int64)
+        at = 0
+        while at < whole.num_rows:  # runs of rows with about WORDS_AT_ONCE words, so that memory is bounded
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, side="right")) - 1)
+            batch = whole.slice(at, to - at)
+            offsets = ends[at : to + 1]
+            sig = signatures(np.asarray(whole.column(1).values)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            flat = pa.array(sig.reshape(-1), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, REGISTERS), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["fp", "sig"])
+            at = to
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
