@@ -71,7 +71,7 @@ def test_secrets(docs, odd):
 
 
 def test_line_dedup(spark, odd):
-    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen. " * 2 + "Fourteen fifteen sixteen seventeen eighteen nineteen twenty. A b c d e f g h i j k. "
+    passage = "".join(f"Sentence {k} of the passage has these few words. " for k in range(16))
     rows = [(i, f"Own start number {i} is here. {passage}Own end number {i} is there.") for i in range(6)]
     out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0].text == rows[0][1] and all(passage not in out[i].text and f"start number {i} " in out[i].text for i in range(1, 6))
