@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, small, stored
 
 #: Lines in the rolling window; one boundary in so many lines; least words of a chunk that may go.
 WINDOW, ONE_IN, MIN_WORDS = 2, 2, 10
@@ -51,7 +51,7 @@ def with_pieces(docs: DataFrame) -> DataFrame:
 
 def _long(chunk: Column) -> Column:
     """At least MIN_WORDS words, counted by the spaces between them."""
-    return F.size(F.split(F.trim(chunk), r"\s+")) >= MIN_WORDS
+    return chunk.rlike(rf"^\s*+(?:\S++\s++){{{MIN_WORDS - 1}}}\S")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     told = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     every = with_pieces(told).select("doc_id", "text_key", F.posexplode("pieces").alias("place", "chunk")).filter(_long(F.col("chunk"))).withColumn("key", F.xxhash64("chunk"))
     again = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    copies = stored(every.join(again, "key"), "chunks")
+    again = stored(again, "repeated")
+    copies = stored(every.join(small(again, again.count()), "key"), "chunks")
     first = copies.groupBy("key").agg(F.min(F.struct("doc_id", "place", "chunk")).alias("keep"))
     return (
         copies.join(first, "key")
