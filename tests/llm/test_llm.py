@@ -126,3 +126,15 @@ def test_quality(spark, docs, odd):
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     got = quality.scored(odd, model).toPandas()
     assert len(got) == len(ODD) and got.score.between(0, 1).all()
+
+
+def test_language_id(spark, odd):
+    from tidemark.llm import language_id
+
+    got = queries.op7_language_id(spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    own = got[got.kind == "document"].merge(docs, on="doc_id")
+    assert len(own) == len(docs) and (own.lang_x == own.lang_y).mean() > 0.98
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    pages = spark.createDataFrame([(1, None, None), (2, "no address", "")], "page_id long, url string, html string")
+    assert language_id.identify(language_id.evidence(odd, pages), model).count() == len(ODD) + 2

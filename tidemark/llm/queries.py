@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, topk
+from . import decontamination, language_id, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and every page: kind, doc_id or page_id, lang, probability."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(language_id.evidence(docs, _table(spark, sf_dir, "pages")), language_id.fit(docs))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -46,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op4_secret_scan, op5_line_dedup, op6_token_counts, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op4_secret_scan, op5_line_dedup, op6_token_counts, op7_language_id, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
