@@ -138,3 +138,12 @@ def test_language_id(spark, odd):
     model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     pages = spark.createDataFrame([(1, None, None), (2, "no address", "")], "page_id long, url string, html string")
     assert language_id.identify(language_id.evidence(odd, pages), model).count() == len(ODD) + 2
+
+
+def test_license_scan(spark, odd):
+    from tidemark.llm import license_scan
+
+    rows = [(1, "Some words.\nReleased under the MIT License."), (2, "He showed his license at MIT."), (3, "Licensed under CC BY-NC 4.0."), (4, None), (5, "")]
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [(1, "MIT")], 2: [], 3: [(0, "CC-BY-NC")], 4: [], 5: []}
+    assert license_scan.scan(odd).count() == len(ODD)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, topk
+from . import decontamination, language_id, license_scan, line_dedup, near_dedup, packing, quality, secret_scan, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_chunks_removed", "n_chars_removed", "text")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: how many licence paragraphs, their families, and each one's line, family and probability."""
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"), F.to_json("found").alias("found"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_benchmark_decontamination, op4_secret_scan, op5_line_dedup, op6_token_counts, op7_language_id, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_benchmark_decontamination, op4_secret_scan, op5_line_dedup, op6_token_counts, op7_language_id, op8_quality_classifier, op9_near_dedup, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
