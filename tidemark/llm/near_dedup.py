@@ -4,7 +4,8 @@ Equal word sequences are one node. A node's weighted shingles (five words; weigh
 whose rate is the weight: each arrival picks a register, a register keeps its first arrival, and an element stops once its
 next arrival comes after the slowest register's. Two registers agree with the probability Jaccard similarity of the weighted
 sets. Bands of registers make buckets; in each bucket all nodes are compared with one pivot, the same smallest node for
-most buckets, then all pairs of nodes that are still in different classes. Pairs whose registers agree in `FLOOR` or more
+most buckets; in buckets that still hold several classes, with the most linked node, `HUB_ROUNDS` times; then nodes of
+different classes that share one of their rarest shingles, where every similar pair must meet. Pairs whose registers agree in `FLOOR` or more
 are verified by the exact Jaccard similarity of their shingle sets. Classes are the connected components of the links.
 
 Defined results: texts of one to four words are one shingle; a text without words, or null, is alone in its class unless
@@ -26,6 +27,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 REGISTERS = BANDS * ROWS
 #: Share of equal registers from which a pair is verified: 0.8 less five standard deviations of the estimate.
 FLOOR = 0.6
+#: Rounds in which the most linked node of a bucket is compared with all others of other classes.
+HUB_ROUNDS = 2
 #: Words that are hashed together.
 WORDS_AT_ONCE = 200_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
@@ -116,6 +119,35 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
+def _mixed(members: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (key, node, label, degree), and the buckets that hold several classes (key, led: the member with most links)."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    known = found.join(degree, "node", "left")
+    placed = stored(members.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+    led = placed.groupBy("key").agg(F.max(F.struct("degree", "node", "label")).alias("led"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return placed, led.filter("low <> high").select("key", "led")
+
+
+def _sharing_prefix(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that may be similar, from sets (node, label, x); exact.
+
+    Shingles are ordered: first those of a single class, which no such pair shares, then rare before frequent. Of n
+    shingles, a partner shares at least similarity * n, so it shares one of the first n - ceil(similarity * n) + 1, and one
+    that is among its own first ones too. Once both sizes are known, so is the least number shared, and the first shared
+    shingle must have so many places from it to the end of either set. What is a copy's own takes up its first places, so a
+    group makes few pairs.
+    """
+    each = sets.select("node", "label", F.size("x").alias("n"), F.explode("x").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("s", "f")
+    ranked = each.join(shared, "s").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("live"))
+    own = F.col("n") - F.size("live")
+    room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - own
+    first = stored(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "label", "n", own.alias("own"), F.posexplode(F.slice("live", F.lit(1), F.col("room"))["s"]).alias("i", "s")).select("node", "label", "n", (F.col("own") + F.col("i")).alias("i"), "s"), "prefixes")
+    least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
+    met = first.toDF("a", "la", "na", "ia", "s").join(first.toDF("b", "lb", "nb", "ib", "s"), "s").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least))
+    return met.select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, class_id, is_representative; and row_key, the text's fingerprint."""
     told = docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), lambda w: F.struct(F.md5(F.array_join(w, " ").cast("binary")).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"), w.alias("w"))).alias("of"))
@@ -133,15 +165,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_links(stars, nodes, shingles, similarity), "links")
     found = components(links)
-    placed = stored(members.join(found, "node", "left").select("key", "node", "pivot", F.coalesce("label", "node").alias("label")), "placed")
-    by_class = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = by_class.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", "main")
-    apart = placed.join(largest, "key")
-    outside = apart.filter("label <> main").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("pivot").alias("pa"))
-    inside = apart.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = outside.join(inside, (outside["key"] == inside["key"]) & (F.col("la") != F.col("lb")) & (F.col("b") != F.col("pa")) & (F.col("a") != F.col("pa")))
-    pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_links(pairs, nodes, shingles, similarity), "links")
+    for _ in range(HUB_ROUNDS):
+        placed, mixed = _mixed(members, links, found)
+        stars = placed.join(mixed, "key").filter("label <> led.label").select(F.col("led.node").alias("a"), F.col("node").alias("b")).distinct()
+        more = stored(_links(stars, nodes, shingles, similarity), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        found = components(links)
+    placed, mixed = _mixed(members, links, found)
+    apart = placed.join(mixed, "key").select("node", "label").distinct()
+    more = stored(_links(_sharing_prefix(shingles.join(apart, "node"), similarity), nodes, shingles, similarity), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     named = nodes.select("node", "fp").join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
