@@ -27,6 +27,8 @@ SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 REGISTERS = BANDS * ROWS
 #: Share of equal registers from which a pair is verified: 0.8 less five standard deviations of the estimate.
 FLOOR = 0.6
+#: Parts into which shingles are dealt by hash, so that their counts bound what two sets share.
+PARTS = 64
 #: Rounds in which the most linked node of a bucket is compared with all others of other classes.
 HUB_ROUNDS = 2
 #: Words that are hashed together.
@@ -41,8 +43,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """(rows, registers) int32: element hashes; values: word hashes of all rows, offsets: where each row's begin and end."""
+def elements(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash, count) of the distinct shingles, by row and hash. values: word hashes of all rows, offsets: where each row's begin and end."""
     n = np.diff(offsets)
     v = values.astype(np.uint64)
     row = np.repeat(np.arange(len(n)), np.maximum(n - SHINGLE + 1, np.minimum(n, 1)))
@@ -59,8 +61,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     new = np.ones(len(s), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1])
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(s)))
-    row, s, weight = row[at], s[at], 1 + np.log(np.maximum(count, 1))
+    return row[at], s[at], np.diff(np.append(at, len(s)))
+
+
+def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """(rows, registers) int32: element hashes of the rows that values and offsets give, as for elements()."""
+    n = np.diff(offsets)
+    row, s, count = elements(values, offsets)
+    weight = 1 + np.log(np.maximum(count, 1))
     arrival = np.full((len(n), registers), np.inf)
     element = np.zeros((len(n), registers), dtype=np.uint64)
     flat, ids = arrival.reshape(-1), element.reshape(-1)
@@ -82,26 +90,42 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     return _mix(element).astype(np.uint32).view(np.int32)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, word hashes, offsets) for runs of rows with about WORDS_AT_ONCE words, so that memory is bounded."""
     for whole in batches:
         ends = np.asarray(whole.column(1).offsets, dtype=np.int64)
         at = 0
-        while at < whole.num_rows:  # runs of rows with about WORDS_AT_ONCE words, so that memory is bounded
+        while at < whole.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, side="right")) - 1)
-            batch = whole.slice(at, to - at)
             offsets = ends[at : to + 1]
-            sig = signatures(np.asarray(whole.column(1).values)[offsets[0] : offsets[-1]], offsets - offsets[0])
-            flat = pa.array(sig.reshape(-1), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, REGISTERS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["fp", "sig"])
+            yield whole.column(0).slice(at, to - at), np.asarray(whole.column(1).values)[offsets[0] : offsets[-1]], offsets - offsets[0]
             at = to
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, values, offsets in _runs(batches):
+        sig = signatures(values, offsets)
+        yield pa.RecordBatch.from_arrays([keys, _lists(sig.reshape(-1), np.arange(0, sig.size + 1, REGISTERS), pa.int32())], names=["fp", "sig"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row its shingle hashes, and how many of them fall in each of PARTS parts."""
+    for keys, values, offsets in _runs(batches):
+        row, s, _ = elements(values, offsets)
+        parts = np.bincount(row * PARTS + (s % np.uint64(PARTS)).astype(np.int64), minlength=len(keys) * PARTS)
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(keys))))
+        yield pa.RecordBatch.from_arrays([keys, _lists(s.view(np.int64), ends, pa.int64()), _lists(parts.astype(np.int32), np.arange(0, parts.size + 1, PARTS), pa.int32())], names=["node", "x", "parts"])
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that estimate and exact comparison confirm."""
     sig = nodes.select("node", "sig")
     near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").filter(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= FLOOR * REGISTERS).select("a", "b")
-    both = near.join(shingles.toDF("a", "xa"), "a").join(shingles.toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    both = near.join(shingles.select("node", "x").toDF("a", "xa"), "a").join(shingles.select("node", "x").toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
     return both.filter(F.col("common") >= similarity * (F.size("xa") + F.size("xb") - F.col("common"))).select("a", "b")
 
 
@@ -129,30 +153,33 @@ def _mixed(members: DataFrame, links: DataFrame, found: DataFrame) -> tuple[Data
 
 
 def _sharing_prefix(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that may be similar, from sets (node, label, x); exact.
+    """Pairs (a, b) of nodes of different classes that may be similar, from sets (node, label, x, parts); exact.
 
     Shingles are ordered: first those of a single class, which no such pair shares, then rare before frequent. Of n
     shingles, a partner shares at least similarity * n, so it shares one of the first n - ceil(similarity * n) + 1, and one
     that is among its own first ones too. Once both sizes are known, so is the least number shared, and the first shared
-    shingle must have so many places from it to the end of either set. What is a copy's own takes up its first places, so a
+    shingle must have so many places from it to the end of either set, and the counts of the parts, the lesser of the two
+    in each part, must add up to it. What is a copy's own takes up its first places, so a
     group makes few pairs.
     """
+    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, c: t + c)
     each = sets.select("node", "label", F.size("x").alias("n"), F.explode("x").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("s", "f")
     ranked = each.join(shared, "s").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("live"))
     own = F.col("n") - F.size("live")
     room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - own
-    first = stored(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "label", "n", own.alias("own"), F.posexplode(F.slice("live", F.lit(1), F.col("room"))["s"]).alias("i", "s")).select("node", "label", "n", (F.col("own") + F.col("i")).alias("i"), "s"), "prefixes")
+    first = stored(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "label", "n", own.alias("own"), F.posexplode(F.slice("live", F.lit(1), F.col("room"))["s"]).alias("i", "s")).select("node", "label", "n", (F.col("own") + F.col("i")).alias("i"), "s").join(sets.select("node", "parts"), "node"), "prefixes").select("node", "label", "n", "i", "s", "parts")
     least = F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)
-    met = first.toDF("a", "la", "na", "ia", "s").join(first.toDF("b", "lb", "nb", "ib", "s"), "s").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least))
+    met = first.toDF("a", "la", "na", "ia", "s", "pa").join(first.toDF("b", "lb", "nb", "ib", "s", "pb"), "s").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least) & (bound >= least))
     return met.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, class_id, is_representative; and row_key, the text's fingerprint."""
-    told = docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), lambda w: F.struct(F.md5(F.array_join(w, " ").cast("binary")).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"), w.alias("w"))).alias("of"))
-    of_docs = stored(told.select("doc_id", "of.fp"), "texts")
-    signed = told.filter(F.size("of.h") > 0).select("of.fp", "of.h").mapInArrow(_signed, "fp string, sig array<int>")
+    fp = lambda w: F.md5(F.array_join(w, " ").cast("binary"))
+    of_docs = stored(docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), fp).alias("fp")), "texts")
+    told = docs.select(let(words(F.col(text_col)), lambda w: F.struct(fp(w).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))).alias("of")).select("of.fp", "of.h")
+    signed = told.filter(F.size("h") > 0).mapInArrow(_signed, "fp string, sig array<int>")
     nodes = stored(signed.groupBy("fp").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
     keyed = nodes.select("node", F.explode(band).alias("key"))
@@ -160,8 +187,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     members = stored(keyed.join(shared, "key").select("key", "node", "pivot"), "members")
     wanted = stored(members.select("node").distinct().join(nodes.select("node", "fp"), "node"), "wanted")
     n = wanted.count()
-    shingle = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, SHINGLE))))
-    shingles = stored(told.select("of.fp", "of.w").join(small(wanted, n), "fp").select("node", let(F.col("w"), shingle).alias("x")).dropDuplicates(["node"]), "shingles")
+    met = told.join(small(wanted, n), "fp").select("node", "h")
+    shingles = stored(met.mapInArrow(_shingled, f"node {dict(wanted.dtypes)['node']}, x array<bigint>, parts array<int>").dropDuplicates(["node"]), "shingles")
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_links(stars, nodes, shingles, similarity), "links")
     found = components(links)
