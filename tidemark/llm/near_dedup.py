@@ -15,10 +15,11 @@ it has a copy; rows of one text share a class whatever their ids. class_id is th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, small, stored, words
@@ -31,8 +32,8 @@ FLOOR = 0.6
 PARTS = 64
 #: Rounds in which the most linked node of a bucket is compared with all others of other classes.
 HUB_ROUNDS = 2
-#: Words that are hashed together.
-WORDS_AT_ONCE = 200_000
+#: Words that are hashed together, and documents that go to Python in one batch: both bound a worker's memory.
+WORDS_AT_ONCE, ROWS_AT_ONCE = 50_000, 256
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -90,6 +91,18 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     return _mix(element).astype(np.uint32).view(np.int32)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """ROWS_AT_ONCE holds for what is run (not only planned) inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, ROWS_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(keys, word hashes, offsets) for runs of rows with about WORDS_AT_ONCE words, so that memory is bounded."""
     for whole in batches:
@@ -180,7 +193,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     of_docs = stored(docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), fp).alias("fp")), "texts")
     told = docs.select(let(words(F.col(text_col)), lambda w: F.struct(fp(w).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))).alias("of")).select("of.fp", "of.h")
     signed = told.filter(F.size("h") > 0).mapInArrow(_signed, "fp string, sig array<int>")
-    nodes = stored(signed.groupBy("fp").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    with _small_batches(docs.sparkSession):
+        nodes = stored(signed.groupBy("fp").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS)))
     keyed = nodes.select("node", F.explode(band).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
@@ -188,7 +202,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     wanted = stored(members.select("node").distinct().join(nodes.select("node", "fp"), "node"), "wanted")
     n = wanted.count()
     met = told.join(small(wanted, n), "fp").select("node", "h")
-    shingles = stored(met.mapInArrow(_shingled, f"node {dict(wanted.dtypes)['node']}, x array<bigint>, parts array<int>").dropDuplicates(["node"]), "shingles")
+    with _small_batches(docs.sparkSession):
+        shingles = stored(met.mapInArrow(_shingled, f"node {dict(wanted.dtypes)['node']}, x array<bigint>, parts array<int>").dropDuplicates(["node"]), "shingles")
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_links(stars, nodes, shingles, similarity), "links")
     found = components(links)
