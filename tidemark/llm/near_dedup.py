@@ -189,9 +189,9 @@ def _sharing_prefix(sets: DataFrame, similarity: float) -> DataFrame:
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, class_id, is_representative; and row_key, the text's fingerprint."""
-    fp = lambda w: F.md5(F.array_join(w, " ").cast("binary"))
-    of_docs = stored(docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), fp).alias("fp")), "texts")
-    told = docs.select(let(words(F.col(text_col)), lambda w: F.struct(fp(w).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))).alias("of")).select("of.fp", "of.h")
+    hashed = lambda w: F.struct(F.md5(F.array_join(w, " ").cast("binary")).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))
+    texts = stored(docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), hashed).alias("of")).select("doc_id", "of.fp", "of.h"), "texts")
+    of_docs, told = texts.select("doc_id", "fp"), texts.select("fp", "h")
     signed = told.filter(F.size("h") > 0).mapInArrow(_signed, "fp string, sig array<int>")
     with _small_batches(docs.sparkSession):
         nodes = stored(signed.groupBy("fp").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
