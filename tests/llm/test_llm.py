@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, near_dedup, packing, queries, quality, secret_scan, token_counts
 
@@ -79,6 +80,19 @@ def test_line_dedup(spark, odd):
     assert sorted((str(r.doc_id), str(r.text)) for r in same) == sorted((str(i), str(t)) for i, t in ODD)
 
 
+def test_line_dedup_compares_bytes(spark):
+    rows = [(1, 1, ["a", "b"], [(0, 7, True), (1, 8, True)]), (2, 2, ["a", "c"], [(0, 7, False), (1, 8, False)]), (3, 3, ["d"], None)]
+    met = spark.createDataFrame(rows, "doc_id long, text_key long, pieces array<string>, marks array<struct<place:int,key:long,keeps:boolean>>")
+    assert [tuple(r) for r in line_dedup.unequal(met).collect()] == [(2, 2, 1)]
+
+
+def test_line_dedup_keeps_columns_and_takes_no_rows(spark, odd):
+    clash = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("pieces", "marks", "row", "text_key", "gone", "keys"))])
+    assert line_dedup.dedup(clash).columns == [*clash.columns, "n_chunks_removed", "n_chars_removed"]
+    assert line_dedup.dedup(clash).count() == len(ODD) and line_dedup.dedup(clash.limit(0)).count() == 0
+    assert line_dedup.stage(clash).columns == clash.columns
+
+
 def test_near_dedup(docs, odd):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     rows = sorted((r.doc_id, found_words(r.text)) for r in docs.collect())

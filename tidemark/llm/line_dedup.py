@@ -54,38 +54,58 @@ def _long(chunk: Column) -> Column:
     return chunk.rlike(rf"^\s*+(?:\S++\s++){{{MIN_WORDS - 1}}}\S")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, place, chunk, keep_id, keep_place): the occurrences that repeat an earlier one, byte for byte."""
-    told = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    every = with_pieces(told).select("doc_id", "text_key", F.posexplode("pieces").alias("place", "chunk")).filter(_long(F.col("chunk"))).withColumn("key", F.xxhash64("chunk"))
-    again = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    again = stored(again, "repeated")
-    copies = stored(every.join(small(again, again.count()), "key"), "chunks")
-    first = copies.groupBy("key").agg(F.min(F.struct("doc_id", "place", "chunk")).alias("keep"))
-    return (
-        copies.join(first, "key")
-        .filter((F.col("chunk") == F.col("keep.chunk")) & ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("place") != F.col("keep.place"))))
-        .select("doc_id", "text_key", "place", "chunk", F.col("keep.doc_id").alias("keep_id"), F.col("keep.place").alias("keep_place"))
-    )
+def repeats(chunks: DataFrame) -> DataFrame:
+    """(doc_id, text_key, marks): of each text that holds a repeated hash, array<struct<place, key, keeps>>, by place.
+
+    Only ids and hashes are read and shuffled, no texts. `keeps` tells the first occurrence, by doc_id, place and text_key.
+    """
+    every = chunks.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.posexplode("keys").alias("place", "key")).filter(F.col("key").isNotNull())
+    again = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
+    hits = stored(every.join(small(again, again.count()), "key"), "hits")
+    first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("keep"))
+    mark = F.struct("place", "key", (F.struct("doc_id", "place", "text_key") == F.col("keep")).alias("keeps"))
+    return hits.join(first, "key").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
+
+
+def unequal(met: DataFrame) -> DataFrame:
+    """(doc_id, text_key, place): marked occurrences whose bytes are not those of the kept one, though their hashes agree.
+
+    All bytes of a key are compared by their least and greatest, which combine before the shuffle; a key where these differ
+    is settled occurrence by occurrence.
+    """
+    marked = met.filter(F.col("marks").isNotNull()).select("doc_id", "text_key", F.explode(let(F.col("pieces"), lambda p: F.transform("marks", lambda m: F.struct(m["place"].alias("place"), m["key"].alias("key"), m["keeps"].alias("keeps"), F.get(p, m["place"]).alias("chunk"))))).alias("m")).select("doc_id", "text_key", "m.*")
+    unsafe = stored(marked.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("key"), "unsafe")
+    there = marked.join(small(unsafe, unsafe.count()), "key")
+    kept = there.filter("keeps").groupBy("key").agg(F.first("chunk").alias("kept"))
+    return stored(there.filter("not keeps").join(kept, "key").filter("chunk <> kept").select("doc_id", "text_key", "place").distinct(), "unequal")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated chunks taken out of text_col, and two columns more: n_chunks_removed, n_chars_removed (long).
 
-    All other columns of docs keep names, values and order.
+    All other columns of docs keep names, values and order. Texts are cut once and shuffled once, to meet their marks.
     """
-    inner = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = repeated_chunks(inner).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(F.collect_set("place").alias("gone"))
-    met = inner.withColumn("text_key", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
-    cut = with_pieces(met).withColumn(
-        "left",
-        F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-            let(F.col("pieces"), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), ""))
-        ),
-    )
+    own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
+    told = with_pieces(docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")))
+    keyed = told.withColumn("keys", F.transform("pieces", lambda x: F.when(_long(x), F.xxhash64(x))))
+    chunks = stored(keyed.withColumn("pieces", F.when(F.col("text").isNotNull(), F.col("pieces"))).drop("text"), "chunks")
+    marks = repeats(chunks).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
+    met = stored(chunks.drop("keys").join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").drop("m_id", "m_key"), "met")
+    wrong = unequal(met)
+    n_wrong = wrong.count()
+    gone = F.transform(F.filter("marks", lambda m: ~m["keeps"]), lambda m: m["place"])
+    if n_wrong:
+        wrong = wrong.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("wrong"))
+        met = met.join(small(wrong, n_wrong), ["doc_id", "text_key"], "left")
+        gone = F.array_except(gone, F.coalesce("wrong", F.expr("cast(array() as array<int>)")))
+    met = met.withColumn("gone", F.coalesce(gone, F.expr("cast(array() as array<int>)")))
+    some = F.size("gone") > 0
+    left = F.when(some, let(F.col("pieces"), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), ""))).otherwise(F.array_join("pieces", ""))
+    lost = F.when(some, let(F.col("pieces"), lambda p: F.aggregate("gone", F.lit(0).cast("long"), lambda n, i: n + F.char_length(F.get(p, i))))).otherwise(F.lit(0).cast("long"))
+    # In two steps, or names of docs like those used here would be taken for them inside the lambdas.
+    cut = met.select("row", left.alias("left"), F.size("gone").cast("long").alias("n"), lost.alias("lost"))
     kept = [F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return cut.select(*kept, F.when(F.col("gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_chunks_removed"), F.coalesce(F.char_length("text") - F.char_length("left"), F.lit(0)).cast("long").alias("n_chars_removed"))
+    return cut.select(*kept, F.col("n").alias("n_chunks_removed"), F.col("lost").alias("n_chars_removed"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
