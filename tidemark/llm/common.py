@@ -50,9 +50,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Removes the files of a stored table now: only after all that is read from it has itself been stored."""
+    _forget(df.sparkSession, df.stored_at)
 
 
 def _forget(spark: SparkSession, path: str) -> None:

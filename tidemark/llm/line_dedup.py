@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small, stored
+from .common import let, release, small, stored
 
 #: Lines in the rolling window; one boundary in so many lines; least words of a chunk that may go.
 WINDOW, ONE_IN, MIN_WORDS = 2, 2, 10
@@ -91,6 +91,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chunks = stored(keyed.withColumn("pieces", F.when(F.col("text").isNotNull(), F.col("pieces"))).drop("text"), "chunks")
     marks = repeats(chunks).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
     met = stored(chunks.drop("keys").join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").drop("m_id", "m_key"), "met")
+    release(chunks)
     wrong = unequal(met)
     n_wrong = wrong.count()
     gone = F.transform(F.filter("marks", lambda m: ~m["keeps"]), lambda m: m["place"])
