@@ -32,26 +32,37 @@ def counted(text: str | None) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(1000 * counts / np.maximum(counts.sum(1, keepdims=True), 1)) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    """Weighted, unit-length rows in single precision: one array of their own, no more at a time."""
+    x = counts.astype(np.float32)
+    x *= 1000 / np.maximum(x.sum(1, keepdims=True), 1)
+    np.log1p(x, out=x)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from at most `sample` labelled rows outside the held-out fold; their byte-pair counts come to the driver."""
+    """The model from at most `sample` labelled rows outside the held-out fold; their byte-pair counts come to the driver, sparse."""
     chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([counted(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "quality", "x"])
+            seen = [(c, np.flatnonzero(c)) for c in map(counted, b.column(2).to_pylist())]
+            at = pa.array([k.astype(np.uint16).tobytes() for _, k in seen], pa.binary())
+            n = pa.array([c[k].astype(np.int32).tobytes() for c, k in seen], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), at, n], names=["doc_id", "quality", "at", "n"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(counts, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(counts, "doc_id long, quality int, at binary, n binary").toPandas().sort_values("doc_id")
     if not len(rows):
         return {"share": 0.5, "vectors": None}
-    x = np.stack([np.frombuffer(v, dtype=np.int32) for v in rows["x"]])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
+    x = np.zeros((len(rows), FEATURES), dtype=np.int32)
+    for row, at, n in zip(x, rows["at"], rows["n"], strict=True):
+        row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(n, dtype=np.int32)
+    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 0.1
     weighted = _weighted(x, idf)
-    _, basis = np.linalg.eigh(weighted.T @ weighted)
-    basis = basis[:, ::-1][:, :DIMENSIONS]
+    del x
+    _, basis = np.linalg.eigh((weighted.T @ weighted).astype(float))
+    basis = np.ascontiguousarray(basis[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
     latent = weighted @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     y = rows["quality"].to_numpy(dtype=np.float32)
