@@ -114,6 +114,15 @@ def test_near_dedup(docs, odd):
     assert near_dedup.classes(odd).count() == len(ODD)
 
 
+def test_near_dedup_of_repeated_lines(spark):
+    rows = []
+    for k in range(8):
+        own = " ".join(f"w{k}x{i}" for i in range(104))
+        rows += [(2 * k, own), (2 * k + 1, own + (" " + " ".join(f"again{k}x{i}" for i in range(20))) * 50)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(16)}  # 100 of 124 shingles are shared
+
+
 def test_token_counts(docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,12 +1,14 @@
-"""MinHash near-dedup with ProbMinHash over weighted word shingles.
+"""MinHash near-dedup with ProbMinHash over word shingles.
 
-Equal word sequences are one node. A node's weighted shingles (five words; weight 1 + ln count) arrive as Poisson processes
-whose rate is the weight: each arrival picks a register, a register keeps its first arrival, and an element stops once its
-next arrival comes after the slowest register's. Two registers agree with the probability Jaccard similarity of the weighted
-sets. Bands of registers make buckets; in each bucket all nodes are compared with one pivot, the same smallest node for
+Equal word sequences are one node. A node's distinct shingles (five words) arrive as Poisson processes: each arrival picks a
+register, a register keeps its first arrival, and an element stops once its next arrival comes after the slowest register's.
+All shingles of a node have one weight, however often they occur, for then the probability Jaccard similarity, with which two
+registers agree, is the plain Jaccard similarity by which links are defined; weights from counts would lose near copies in
+which one text repeats lines. Bands of registers make buckets; in each bucket all nodes are compared with one pivot, the same smallest node for
 most buckets; in buckets that still hold several classes, with the most linked node, `HUB_ROUNDS` times; then nodes of
-different classes that share one of their rarest shingles, where every similar pair must meet. Pairs whose registers agree in `FLOOR` or more
-are verified by the exact Jaccard similarity of their shingle sets. Classes are the connected components of the links.
+different classes that share one of their rarest shingles, where every similar pair must meet. Pairs are verified by the
+exact Jaccard similarity of their shingle sets; with pivots and hubs only those whose registers agree in `FLOOR` or more, as
+similar pairs that these leave apart meet again by a rare shingle. Classes are the connected components of the links.
 
 Defined results: texts of one to four words are one shingle; a text without words, or null, is alone in its class unless
 it has a copy; rows of one text share a class whatever their ids. class_id is the class's smallest doc_id.
@@ -26,7 +28,7 @@ from .common import let, small, stored, words
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair is verified: 0.8 less five standard deviations of the estimate.
+#: Share of equal registers from which a pair with a pivot or hub is verified: 0.8 less five standard deviations of the estimate.
 FLOOR = 0.6
 #: Parts into which shingles are dealt by hash, so that their counts bound what two sets share.
 PARTS = 64
@@ -68,8 +70,7 @@ def elements(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """(rows, registers) int32: element hashes of the rows that values and offsets give, as for elements()."""
     n = np.diff(offsets)
-    row, s, count = elements(values, offsets)
-    weight = 1 + np.log(np.maximum(count, 1))
+    row, s, _ = elements(values, offsets)
     arrival = np.full((len(n), registers), np.inf)
     element = np.zeros((len(n), registers), dtype=np.uint64)
     flat, ids = arrival.reshape(-1), element.reshape(-1)
@@ -78,7 +79,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     while len(s):
         turn += 1
         h = _mix(s + np.uint64((turn * MIX[2]) & 0xFFFFFFFFFFFFFFFF))
-        clock = clock - np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53) / weight
+        clock = clock - np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53)
         to = row * registers + (_mix(h) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(flat, to, clock)
         won = flat[to] == clock
@@ -87,7 +88,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
         slowest = np.zeros(len(n))
         slowest[busy] = arrival[busy].max(1)
         go = clock < slowest[row]
-        row, s, weight, clock = row[go], s[go], weight[go], clock[go]
+        row, s, clock = row[go], s[go], clock[go]
     return _mix(element).astype(np.uint32).view(np.int32)
 
 
@@ -134,11 +135,15 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys, _lists(s.view(np.int64), ends, pa.int64()), _lists(parts.astype(np.int32), np.arange(0, parts.size + 1, PARTS), pa.int32())], names=["node", "x", "parts"])
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that estimate and exact comparison confirm."""
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers agree in FLOOR or more."""
     sig = nodes.select("node", "sig")
-    near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").filter(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= FLOOR * REGISTERS).select("a", "b")
-    both = near.join(shingles.select("node", "x").toDF("a", "xa"), "a").join(shingles.select("node", "x").toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
+    return pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").filter(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= FLOOR * REGISTERS).select("a", "b")
+
+
+def _links(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that exact comparison confirms."""
+    both = pairs.join(shingles.select("node", "x").toDF("a", "xa"), "a").join(shingles.select("node", "x").toDF("b", "xb"), "b").withColumn("common", F.size(F.array_intersect("xa", "xb")))
     return both.filter(F.col("common") >= similarity * (F.size("xa") + F.size("xb") - F.col("common"))).select("a", "b")
 
 
@@ -205,19 +210,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     with _small_batches(docs.sparkSession):
         shingles = stored(met.mapInArrow(_shingled, f"node {dict(wanted.dtypes)['node']}, x array<bigint>, parts array<int>").dropDuplicates(["node"]), "shingles")
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_links(stars, nodes, shingles, similarity), "links")
+    links = stored(_links(_estimated(stars, nodes), shingles, similarity), "links")
     found = components(links)
     for _ in range(HUB_ROUNDS):
         placed, mixed = _mixed(members, links, found)
         stars = placed.join(mixed, "key").filter("label <> led.label").select(F.col("led.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = stored(_links(stars, nodes, shingles, similarity), "links")
+        more = stored(_links(_estimated(stars, nodes), shingles, similarity), "links")
         if more.isEmpty():
             break
         links = links.union(more)
         found = components(links)
     placed, mixed = _mixed(members, links, found)
     apart = placed.join(mixed, "key").select("node", "label").distinct()
-    more = stored(_links(_sharing_prefix(shingles.join(apart, "node"), similarity), nodes, shingles, similarity), "links")
+    more = stored(_links(_sharing_prefix(shingles.join(apart, "node"), similarity), shingles, similarity), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     named = nodes.select("node", "fp").join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
