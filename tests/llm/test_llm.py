@@ -5,10 +5,11 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, near_dedup, packing, queries, quality, secret_scan, token_counts
+from tidemark.llm import decontamination, line_dedup, near_dedup, packing, queries, quality, secret_scan, token_counts, topk
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -37,6 +38,20 @@ def test_topk_equals_sql(spark):
     assert got == con.execute(queries.ORACLES["op2_exact_topk"] + " order by query_id, rank").df().values.tolist()
 
 
+def test_topk_prunes_no_true_row():
+    def best(rows, q, k, bound):
+        return topk._best(np.arange(len(rows)), np.array(rows, float), np.array([q], float), np.array([-1]), np.array([float(bound)]), k)["score"].tolist()
+
+    assert best([(290, 0), (300, 0), (0, 300)], (256, 0), 2, 40000) == [76800, 74240]
+    rng = np.random.default_rng(5)
+    for case in range(400):
+        rows = rng.integers(-300, 300, (200, 1 + case % 5)) * (rng.random((200, 1 + case % 5)) < 0.6)
+        q = rng.integers(-300, 300, rows.shape[1]) * (1 if case % 2 else np.eye(rows.shape[1], dtype=int)[0])
+        want = sorted((rows @ q).tolist(), reverse=True)[:5]
+        if want[-1] > 0:
+            assert best(rows, q, 5, want[-1]) == best(rows, q, 5, want[-1] * 0.6) == want
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     windows = defaultdict(set)

@@ -52,10 +52,12 @@ def _best(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_ids: np.
             keep = np.flatnonzero(norms * length >= bound * (1 - 1e-12))
             if local >= COSINE and len(keep):
                 f = int(np.abs(q).argmax())
-                u = q[f] / length
-                reach = np.sqrt(max(0.0, 1 - u * u)) * np.sqrt(max(0.0, 1 - local * local))
+                local *= 1 - 1e-12
+                u, rest = q[f] / length, np.sqrt((q**2).sum() - q[f] ** 2) / length
+                reach = rest * np.sqrt(1 - local * local)
+                low, high = -1 if u <= -local else u * local - reach, 1 if u >= local else u * local + reach
                 share = rows[keep, f] / np.maximum(norms[keep], 1e-300)
-                keep = keep[(share >= u * local - reach - 1e-9) & ((share <= u * local + reach + 1e-9) | (u < 1) & (share <= 1))]
+                keep = keep[(share >= low - 1e-9) & (share <= high + 1e-9)]
         keep = keep[ids[keep] != own]
         score = (rows[keep] @ q).astype(np.int64)
         order = np.lexsort((ids[keep], -score))[:k]
