@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import queries as Q
 
@@ -21,3 +22,12 @@ def test_query_equals_oracle(spark, name):
     cols = sorted(got.columns)
     key = lambda df: sorted(map(repr, ([None if x != x or x is None else (float(x) + 0.0 if isinstance(x, float) else str(x)) for x in row] for row in df[cols].itertuples(index=False))))
     assert len(got) > 0 and key(got) == key(want)
+
+
+def test_vote_has_every_point(spark):
+    from tidemark.operators import windows as W
+
+    points = spark.createDataFrame([("long", k) for k in range(60)] + [("short", k) for k in range(9)], "series_id string, idx int").withColumn("n", F.when(F.col("series_id") == "long", 60).otherwise(9))
+    flags = spark.createDataFrame([("long", 0, 1)], "series_id string, window_id int, flag int")
+    got = {(r.series_id, r.idx): (r.is_vote, r.is_any) for r in W.to_points(points, flags).collect()}
+    assert got == {("long", k): (k < 50, k < 50) for k in range(60)} | {("short", k): (False, False) for k in range(9)}

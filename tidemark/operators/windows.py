@@ -31,6 +31,8 @@ def statistics(df: DataFrame, ws: int = 50) -> DataFrame:
 
 
 def to_points(df: DataFrame, flags: DataFrame, ws: int = 50) -> DataFrame:
-    """Vote of the windows (series_id, window_id, flag 0/1) on their points: is_vote (> half), is_any (any); uncovered points: neither."""
-    m = members(df, ws).select("series_id", "idx", "window_id").join(flags, ["series_id", "window_id"])
-    return m.groupBy("series_id", "idx").agg((F.avg("flag") > 0.5).alias("is_vote"), (F.max("flag") > 0).alias("is_any"))
+    """Vote of the windows (series_id, window_id, flag 0/1) on every point: is_vote (> half), is_any (any), n_windows; uncovered points: neither, 0."""
+    indexed = df if "idx" in df.columns else index_points(df)
+    m = members(indexed, ws).select("series_id", "idx", "window_id").join(flags, ["series_id", "window_id"])
+    votes = m.groupBy("series_id", "idx").agg((F.avg("flag") > 0.5).alias("is_vote"), (F.max("flag") > 0).alias("is_any"), F.count("*").alias("n_windows"))
+    return indexed.select("series_id", "idx").join(votes, ["series_id", "idx"], "left").fillna({"is_vote": False, "is_any": False, "n_windows": 0})

@@ -60,10 +60,18 @@ def win_labels(s, d):
     return W.members(B.lc_supplier(s, d)).groupBy("series_id", "window_id").agg(F.max("label").alias("label"))
 
 
+def points_vote_all(s, d):
+    """Every point, uncovered ones too."""
+    points = B.lc_supplier(s, d)
+    flags = W.members(points).groupBy("series_id", "window_id").agg(F.max("label").alias("flag"))
+    return W.to_points(points, flags).drop("n_windows")
+
+
 def points_vote(s, d):
+    """The points that a window covers, as its SQL has them."""
     points = B.lc_supplier(s, d)
     flags = W.members(points).groupBy("series_id", "window_id").agg(F.max("label").alias("flag"))
-    return W.to_points(points, flags)
+    return W.to_points(points, flags).filter("n_windows > 0").drop("n_windows")
 
 
 def transits_simple(s, d):
@@ -104,7 +112,7 @@ def areas_by_type(s, d):
     return _round(evaluate.areas(_by_type(s, d), "type"))
 
 
-QUERIES = {f.__name__: f for f in (lc_clean, lc_summary, lc_global_stats, sigma_clip, normalize_flux, denormalize_flux, index_points, win_stats, win_labels, points_vote, transits_simple, point_anomalies, transit_events, phase_labels, catalog_targets, non_hosts, confusion_by_type, areas_by_type)}
+QUERIES = {f.__name__: f for f in (lc_clean, lc_summary, lc_global_stats, sigma_clip, normalize_flux, denormalize_flux, index_points, win_stats, win_labels, points_vote, points_vote_all, transits_simple, point_anomalies, transit_events, phase_labels, catalog_targets, non_hosts, confusion_by_type, areas_by_type)}
 
 _LC = "lc as (select l_suppkey as series_id, epoch_us(l_shipdate) / 86400e6 as time, l_extendedprice as flux, (l_quantity >= 50 and l_discount >= 0.09)::int as label, l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as idx, count(*) over (partition by l_suppkey) as n from lineitem)"
 _US = "us as (select user_id as series_id, epoch_us(ts) / 86400e6 as time, value as flux, event_type as type from events)"
@@ -124,6 +132,7 @@ ORACLES = {
     "win_stats": f"with {_LC}, {_WIN}, m as (select *, median(flux) over (partition by series_id, window_id) as md, avg(flux) over (partition by series_id, window_id) as mu from win) select series_id, window_id, max(label) as label, round(avg(flux), 4) as mean, round(stddev_pop(flux), 4) as std, round(min(flux), 4) as min, round(max(flux), 4) as max, round(max(flux) - min(flux), 4) as ptp, round(avg((flux - mu) ** 3) / avg((flux - mu) ** 2) ** 1.5, 4) as skewness, round(kurtosis_pop(flux), 4) as kurtosis, round(sqrt(avg(flux * flux)), 4) as rms, round(median(flux), 4) as median, round(median(abs(flux - md)), 4) as mad from m group by 1, 2",
     "win_labels": f"with {_LC}, {_WIN} select series_id, window_id, max(label) as label from win group by 1, 2",
     "points_vote": f"with {_LC}, {_WIN}, f as (select series_id, window_id, max(label) as flag from win group by 1, 2) select win.series_id, win.idx::int as idx, avg(flag) > 0.5 as is_vote, max(flag) > 0 as is_any from win join f using (series_id, window_id) group by 1, 2",
+    "points_vote_all": f"with {_LC}, {_WIN}, f as (select series_id, window_id, max(label) as flag from win group by 1, 2), v as (select win.series_id, win.idx, avg(flag) > 0.5 as is_vote, max(flag) > 0 as is_any from win join f using (series_id, window_id) group by 1, 2) select lc.series_id, lc.idx::int as idx, coalesce(is_vote, false) as is_vote, coalesce(is_any, false) as is_any from lc left join v using (series_id, idx)",
     "transits_simple": f"with {_US}, m as (select *, median(flux) over (partition by series_id) - 0.5 * stddev_pop(flux) over (partition by series_id) as t from us) select series_id, round(time, 4) as time, round(flux, 4) as flux from m where flux < t",
     "point_anomalies": f"with {_US}, m as (select *, (flux - avg(flux) over (partition by series_id)) / nullif(stddev_pop(flux) over (partition by series_id), 0) as z from us) select series_id, round(time, 4) as time, round(flux, 4) as flux, round(z, 4) as z_score, case when z < 0 then 'dip' else 'spike' end as kind from m where abs(z) > 2",
     "transit_events": f"with {_LC}, r as (select *, flux / median(flux) over (partition by series_id) as rel from lc), b as (select *, (rel < 0.99)::int as below, idx - sum((rel < 0.99)::int) over (partition by series_id order by idx) as island from r) select series_id, min(idx)::int as start_idx, (max(idx) + 1)::int as end_idx, count(*) as duration, round(min(time), 4) as start_time, round(max(time), 4) as end_time, round(1 - min(rel), 4) as depth, round(avg(flux), 4) as mean_flux, round(max(time) - min(time), 4) as time_duration from b where below = 1 group by series_id, island having count(*) >= 3 and max(idx) + 1 < max(n)",
