@@ -86,6 +86,18 @@ def test_secrets(docs, odd):
         assert sorted((str(r.doc_id), r.base_sha256) for r in got) == sorted((str(r.doc_id), spans(r.text or "")) for r in df.collect())
 
 
+def test_secrets_without_early_digits(spark):
+    import base64
+
+    keys = [base64.b64encode(hashlib.sha512(str(k).encode()).digest()).decode()[k % 7 : k % 7 + 24 + k % 20] for k in range(200)]
+    keys += ["QkZrTwLpXvBnHsDjGcMfYqRt", "aB/cDkQzXwVtRpLmNhJgFdSyUe+Q7"]
+    plain = ["update_the_customer_address_now", "TheSmallHouseNearTheRiver", "/home/someone/pictures/summer/beach", "one-more-ordinary-style-name", "internationalization_of_messages"]
+    rows = [(i, f"see {s} there") for i, s in enumerate(keys + plain)]
+    got = {r.doc_id: [(x.start, x.end) for x in r.added] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [(4, 4 + len(s))] for i, s in enumerate(keys))
+    assert not any(got[len(keys) + i] for i in range(len(plain)))
+
+
 def test_line_dedup(spark, odd):
     passage = "".join(f"Sentence {k} of the passage has these few words. " for k in range(16))
     rows = [(i, f"Own start number {i} is here. {passage}Own end number {i} is there.") for i in range(6)]

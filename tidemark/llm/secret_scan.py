@@ -22,10 +22,32 @@ ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 ASSIGN_VALUE = r"""(?i)^(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so the least length can stand in the pattern
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}"  # whole runs, with digits or without: the models decide
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SAMPLES = 3000
 PARTS = ["get", "set", "user", "name", "value", "max", "min", "count", "index", "file", "path", "data", "list", "table", "row", "column", "time", "date", "start", "end", "config", "server", "client", "request", "response", "handler", "manager", "service", "update", "delete", "create", "read", "write", "buffer", "string", "number", "total", "item", "order", "price", "status", "error", "message", "version", "2024", "v1", "01", "100"]
+#: More ordinary words, so that the second model knows the letter pairs of ordinary identifiers.
+PARTS += """
+about above account action active address after again agent alert align amount analysis angle answer apply area argument array assign async auth author available average backup balance base batch
+before begin below binary block board body border bottom branch bridge browser build button cache call cancel card case category cell center chain change channel character check child choice class
+clean clear click clock close cloud code collect color command comment commit common compare complete component compute condition connect constant contact contain content context control convert copy
+core correct country cover current customer cycle damage deep default define degree delay depend deploy depth describe design detail device dialog different digit direct disk display distance document
+domain double download draft draw drop dynamic early edge edit effect element empty enable encode engine enter entity environment equal escape estimate event example exact except exchange execute
+exist expand expect expire export express extend extra factor failure feature fetch field filter final finish first fixed flag float flow focus folder follow font force foreign format forward found
+frame free frequency front function future gate general generate global graph green group growth guide half happy hash head health height hidden high history host house human image import inch include
+income increase info inner input insert inside install instance integer interface internal interval invalid issue job join journal judge jump keep kernel keyboard kind know label language large last
+later layer layout lead learn left legal length level library light limit line link load local lock logic long loop machine mail main make map mark market mask master match math matrix measure media
+member memory menu merge metadata method metric middle minute missing mode model module money monitor month mouse move multiple native nature network never node normal note notify object observe
+offset online open operation option output outer owner package page paper parameter parent parse part patch pattern payment people percent period phase phone picture pixel place plain plan player
+plugin point policy pool popular position power prefix prepare previous primary print private process product profile program project property protocol provider public publish pull purchase quality
+query question queue quick quiet random range rate ratio raw reach ready real reason record recover reduce reference region register relation release remote remove render repeat replace report require
+reset resize resource result retry return review right role root rotate round route rule sample save scale schedule schema scope score screen script scroll search second section secure select send
+sensor sequence series session share sheet shift short show side signal simple single size sleep slice small snapshot social socket sort sound source space special speed split stack stage standard
+state static station step stop storage store stream street strict structure student style submit success summary support switch symbol sync system target task team template temporary term test text
+theme thread threshold through ticket title today together top topic total touch trace track trade traffic train transaction transfer transform translate travel tree trigger true trust type under
+union unique unit unknown unlock until upload upper usage valid vector vehicle verify view virtual visible visit voice volume wait walk warning watch water weather weight western while white whole
+width window winter wire without word work world wrap yellow young zero zone
+""".split()
 
 
 def _code(c: Column) -> Column:
@@ -46,9 +68,10 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     digest = F.sha2(i, 256)
     random = F.when(F.col("id") % 2 == 0, F.substring(digest, 1, 40)).otherwise(F.translate(F.substring(F.base64(F.unhex(digest)), 1, 40), "=", ""))
     snake = F.concat_ws("_", part(1), part(2), part(3), part(4), part(5))
+    joined = F.when(F.col("id") % 4 == 1, F.translate(snake, "_", "-")).otherwise(F.concat(F.lit("/"), F.translate(snake, "_", "/")))
     camel = F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), F.initcap(part(4)), F.initcap(part(5)))
     ids = spark.range(n)
-    return ids.select(F.lit(1).alias("secret"), random.alias("s")).union(ids.select(F.lit(0).alias("secret"), F.when(F.col("id") % 2 == 0, snake).otherwise(camel).alias("s")))
+    return ids.select(F.lit(1).alias("secret"), random.alias("s")).union(ids.select(F.lit(0).alias("secret"), F.when(F.col("id") % 4 == 0, snake).when(F.col("id") % 4 == 2, camel).otherwise(joined).alias("s")))
 
 
 def train(spark: SparkSession) -> tuple[list[float], float]:
