@@ -107,6 +107,20 @@ def test_line_dedup(spark, odd):
     assert sorted((str(r.doc_id), str(r.text)) for r in same) == sorted((str(i), str(t)) for i, t in ODD)
 
 
+def test_line_dedup_finds_short_passages_anywhere(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k in range(60):
+        sentences = [" ".join(f"p{k}n{j}w{i}" for i in range(int(rng.integers(1, 30)))) + (".\n" if j % 3 else ". ") for j in range(12)]
+        n = next(n for n in range(1, 13) if len(" ".join(sentences[:n]).split()) > 50)
+        for copy in range(2):
+            before, after = ("".join(f"Own {side} of {k} in {copy} is number {j}. " for j in range(int(rng.integers(1, 6)))) for side in ("start", "end"))
+            rows.append((2 * k + copy, before + "".join(sentences[:n]) + after))
+            want[2 * k + copy] = before + after if copy else rows[-1][1]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_line_dedup_compares_bytes(spark):
     rows = [(1, 1, ["a", "b"], [(0, 7, True), (1, 8, True)]), (2, 2, ["a", "c"], [(0, 7, False), (1, 8, False)]), (3, 3, ["d"], None)]
     met = spark.createDataFrame(rows, "doc_id long, text_key long, pieces array<string>, marks array<struct<place:int,key:long,keeps:boolean>>")

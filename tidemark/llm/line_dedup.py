@@ -1,14 +1,15 @@
 """Line dedup by content-defined line chunks.
 
 A text is cut in lines (at line breaks and, so that one long line is no single unit, after sentence ends); every line
-keeps its own break, so the lines joined are the text. A rolling hash over the hashes of `WINDOW` neighbouring lines
-chooses the chunk boundaries: they depend on near content alone and so move along with it. A chunk that occurs again
-anywhere in the corpus is removed from all places but the first (smallest doc_id, then place), after its bytes have been
-compared with those of the kept one.
+keeps its own break, so the lines joined are the text. Chunks start at every line and end with the first line at which they
+have `MIN_WORDS` words, and the same backwards from every line; they overlap and depend on no foreign line. A repeated
+passage of that many words in whole lines is so covered by repeated chunks, all its lines, wherever it stands. A line of a
+chunk that occurred before anywhere in the corpus (smaller doc_id, then text_key, then place) is removed, after the chunk's
+bytes have been compared with those of the first one. Each removal points to an earlier place, so one copy of a line stays.
 
 Defined results. Null text stays null and empty text empty. Documents with a null doc_id are left as they are. Rows alike in
-doc_id and text are one document and treated alike; rows that share a doc_id only are told apart by their texts. Chunks
-under `MIN_WORDS` words are never removed.
+doc_id and text are one document and treated alike; rows that share a doc_id only are told apart by their texts. Repeats
+under `MIN_WORDS` words are never removed. n_chunks_removed counts the lines that went.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import let, release, small, stored
 
-#: Lines in the rolling window; one boundary in so many lines; least words of a chunk that may go.
-WINDOW, ONE_IN, MIN_WORDS = 2, 2, 10
+#: Least words of a repeat that may go; lines among which a chunk must reach them (lines without words count).
+MIN_WORDS, REACH = 10, 32
+#: A chunk is one number, its start times PACK and its lines: sorted and made distinct in linear time, unlike structs.
+PACK = 64
 LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
-#: Multiplier of the rolling polynomial over line hashes, taken modulo a prime so that it stays exact in 64 bits.
-BASE, PRIME = 1_000_003, 2_147_483_647
 
 
 def lines(text: Column) -> Column:
@@ -30,40 +31,48 @@ def lines(text: Column) -> Column:
 
 
 def with_pieces(docs: DataFrame) -> DataFrame:
-    """Adds `pieces`, array<string>: the chunks of `text`; joined in order they are the text."""
+    """Adds `pieces`, array<string>: the lines of `text`; and `chunks`, array<struct<start, n, key>>, by start: lines `n` from `start`, their hash."""
+    def reached(w: Column, i: Column, back: bool) -> Column:
+        """Lines from line i on (0-based) until MIN_WORDS words are reached; null if they are not."""
+        at = lambda k: F.coalesce(F.get(w, i - k if back else i + k), F.lit(0))
+        part = F.reverse(F.slice(w, F.greatest(i - REACH + 2, F.lit(1)), F.least(i + 1, F.lit(REACH)))) if back else F.slice(w, i + 1, F.lit(REACH))
+        far = F.aggregate(part, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda acc, x: F.when(acc["sum"] >= MIN_WORDS, acc).otherwise(F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + 1).alias("n"))), lambda acc: F.when(acc["sum"] >= MIN_WORDS, acc["n"]))
+        return F.when(at(0) >= MIN_WORDS, 1).when(at(0) + at(1) >= MIN_WORDS, 2).when(at(0) + at(1) + at(2) >= MIN_WORDS, 3).otherwise(far)
 
-    def rolling(h: Column, i: Column) -> Column:
-        value = F.element_at(h, i)
-        for back in range(1, WINDOW):
-            value = F.pmod(value + BASE * F.coalesce(F.get(h, i - 1 - back), F.lit(0)), F.lit(PRIME))
-        return value
+    def spans(w: Column) -> Column:
+        each = F.sequence(F.lit(0), F.size(w) - 1)
+        on = F.transform(each, lambda i: i * PACK + reached(w, i, False))
+        back = F.transform(F.filter(each, lambda i: F.get(w, i) < MIN_WORDS), lambda i: let(reached(w, i, True), lambda n: (i - n + 1) * PACK + n))
+        return F.sort_array(F.array_distinct(F.array_compact(F.concat(on, back))))
 
-    def ends(x: Column, h: Column) -> Column:
-        return F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == F.size(x)) | (F.pmod(F.shiftright(rolling(h, i), 7), F.lit(ONE_IN)) == 0))
+    cut = docs.withColumn("pieces", lines(F.coalesce("text", F.lit(""))))
+    n_words = F.transform("pieces", lambda y: F.regexp_count(y, F.lit(r"\S+")))
+    return cut.withColumn("chunks", F.when(F.size("pieces") > 0, let(n_words, spans)).otherwise(F.expr("cast(array() as array<int>)")))
 
-    def cut(x: Column, e: Column) -> Column:
-        begun = lambda k: F.coalesce(F.get(e, k - 1), F.lit(0))
-        return F.transform(e, lambda end, k: F.array_join(F.slice(x, begun(k) + 1, end - begun(k)), ""))
 
-    pieces = let(lines(F.coalesce("text", F.lit(""))), lambda x: F.when(F.size(x) > 0, let(F.transform(x, lambda y: F.pmod(F.xxhash64(y), F.lit(PRIME))), lambda h: let(ends(x, h), lambda e: cut(x, e)))))
-    return docs.withColumn("pieces", F.coalesce(pieces, F.expr("cast(array() as array<string>)")))
+def keys_of(pieces: Column, chunks: Column) -> Column:
+    """The hash of each chunk, from the hashes of its lines."""
+    return let(F.transform(pieces, lambda y: F.xxhash64(y)), lambda h: F.transform(chunks, lambda c: F.xxhash64(F.slice(h, start_of(c) + 1, lines_of(c)))))
 
 
-def _long(chunk: Column) -> Column:
-    """At least MIN_WORDS words, counted by the spaces between them."""
-    return chunk.rlike(rf"^\s*+(?:\S++\s++){{{MIN_WORDS - 1}}}\S")
+def start_of(chunk: Column) -> Column:
+    return F.shiftright(chunk, 6)
+
+
+def lines_of(chunk: Column) -> Column:
+    return F.pmod(chunk, F.lit(PACK))
 
 
 def repeats(chunks: DataFrame) -> DataFrame:
     """(doc_id, text_key, marks): of each text that holds a repeated hash, array<struct<place, key, keeps>>, by place.
 
-    Only ids and hashes are read and shuffled, no texts. `keeps` tells the first occurrence, by doc_id, place and text_key.
+    Only ids and hashes are read and shuffled, no texts. `keeps` tells the first occurrence, by doc_id, text_key and place.
     """
-    every = chunks.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.posexplode("keys").alias("place", "key")).filter(F.col("key").isNotNull())
+    every = chunks.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.posexplode("keys").alias("place", "key"))
     again = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
     hits = stored(every.join(small(again, again.count()), "key"), "hits")
-    first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("keep"))
-    mark = F.struct("place", "key", (F.struct("doc_id", "place", "text_key") == F.col("keep")).alias("keeps"))
+    first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("keep"))
+    mark = F.struct("place", "key", (F.struct("doc_id", "text_key", "place") == F.col("keep")).alias("keeps"))
     return hits.join(first, "key").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
 
 
@@ -81,25 +90,28 @@ def unequal(met: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated chunks taken out of text_col, and two columns more: n_chunks_removed, n_chars_removed (long).
+    """docs with the lines of repeated chunks taken out of text_col, and two columns more: n_chunks_removed, n_chars_removed (long).
 
     All other columns of docs keep names, values and order. Texts are cut once and shuffled once, to meet their marks.
     """
     own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
     told = with_pieces(docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")))
-    keyed = told.withColumn("keys", F.transform("pieces", lambda x: F.when(_long(x), F.xxhash64(x))))
-    chunks = stored(keyed.withColumn("pieces", F.when(F.col("text").isNotNull(), F.col("pieces"))).drop("text"), "chunks")
-    marks = repeats(chunks).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
-    met = stored(chunks.drop("keys").join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").drop("m_id", "m_key"), "met")
+    chunks = stored(told.withColumn("pieces", F.when(F.col("text").isNotNull(), F.col("pieces"))).drop("text"), "chunks")
+    keyed = stored(chunks.filter(F.size("chunks") > 0).select("doc_id", "text_key", keys_of(F.col("pieces"), F.col("chunks")).alias("keys")), "keys")
+    marks = repeats(keyed).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
+    release(keyed)
+    met = stored(chunks.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").drop("m_id", "m_key"), "met")
     release(chunks)
-    wrong = unequal(met)
+    texts = let(F.struct("pieces", "chunks"), lambda r: F.transform(r["chunks"], lambda c: F.array_join(F.slice(r["pieces"], start_of(c) + 1, lines_of(c)), "")))
+    wrong = unequal(met.filter(F.col("marks").isNotNull()).withColumn("pieces", texts))
     n_wrong = wrong.count()
     gone = F.transform(F.filter("marks", lambda m: ~m["keeps"]), lambda m: m["place"])
     if n_wrong:
         wrong = wrong.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("wrong"))
         met = met.join(small(wrong, n_wrong), ["doc_id", "text_key"], "left")
         gone = F.array_except(gone, F.coalesce("wrong", F.expr("cast(array() as array<int>)")))
-    met = met.withColumn("gone", F.coalesce(gone, F.expr("cast(array() as array<int>)")))
+    of_chunk = lambda r: F.array_distinct(F.flatten(F.transform(r["gone"], lambda k: let(F.get(r["chunks"], k), lambda c: F.sequence(start_of(c), start_of(c) + lines_of(c) - 1)))))
+    met = met.withColumn("gone", F.coalesce(let(F.struct(gone.alias("gone"), "chunks"), of_chunk), F.expr("cast(array() as array<int>)")))
     some = F.size("gone") > 0
     left = F.when(some, let(F.col("pieces"), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), ""))).otherwise(F.array_join("pieces", ""))
     lost = F.when(some, let(F.col("pieces"), lambda p: F.aggregate("gone", F.lit(0).cast("long"), lambda n, i: n + F.char_length(F.get(p, i))))).otherwise(F.lit(0).cast("long"))
