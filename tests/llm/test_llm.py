@@ -211,3 +211,11 @@ def test_license_scan(spark, odd):
     got = {r.doc_id: [(x.paragraph, x.family) for x in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [(1, "MIT")], 2: [], 3: [(0, "CC-BY-NC")], 4: [], 5: []}
     assert license_scan.scan(odd).count() == len(ODD)
+
+
+def test_license_scan_wrapped(spark):
+    from tidemark.llm import license_scan
+
+    rows = [(1, "Some words.\n# Licensed under the\n# Apache License, Version 2.0\nMore."), (2, "/* This work is licensed under\n * the GNU General Public\n * License, version 3 */"), (3, "Licensed under the\n\nApache street was long."), (4, "He showed his license\nat MIT."), (5, "Released under the MIT License.\nMore words.")]
+    got = {r.doc_id: [(x.paragraph, x.family) for x in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [(1, "Apache-2.0")] and [f for _, f in got[2]] == ["GPL"] and got[3] == got[4] == [] and got[5] == [(0, "MIT")]

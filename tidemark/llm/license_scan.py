@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, confirmed by templates.
 
-Paragraphs are lines. Features are word n-grams (1 to 3) that hold an anchor word; a multinomial logistic regression with an
+Paragraphs are lines, and windows of two or three lines without a blank one among them, so that a wrapped notice is found; a
+window counts under its first line, and only where no shorter or earlier paragraph of the same family overlaps it. Features are word n-grams (1 to 3) that hold an anchor word; a multinomial logistic regression with an
 L1 penalty weighs them for each licence family and for "unknown". Training texts are made by rule: every template in plain
 and in varied wrapping, and ordinary sentences that use anchor words for "unknown". Calibration: held-out wrappings give the
 probability below which a paragraph counts as unknown. A prediction stands if the paragraph also shares `SHARED` of the
@@ -87,6 +88,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"].rlike(pattern))
     found = F.when(text.rlike(pattern), F.filter(F.transform(lines, lambda y: judged(y["x"], y["i"])), lambda s: s.isNotNull())).otherwise(empty)
+    # A template's n-grams that hold "by" or "nc" alone are under SHARED of it, so a window without another anchor is no licence.
+    strong = r"(?i)(?<![a-z0-9])(?:" + "|".join(a for a in ANCHORS if a not in ("by", "nc")) + r")(?![a-z0-9])"
+
+    def windows(x: Column) -> Column:
+        some = lambda i, n: let(F.slice(x, i + 1, F.lit(n)), lambda part: F.struct(i.alias("i"), F.lit(n).alias("n"), F.when((F.size(part) == n) & ~F.exists(part, lambda y: F.trim(y) == ""), F.array_join(part, " ")).alias("x")))
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.array(some(i, 2), some(i, 3))))
+        return F.transform(F.filter(every, lambda c: F.coalesce(c["x"].rlike(strong), F.lit(False))), lambda c: F.struct(c["n"].alias("n"), judged(c["x"], c["i"]).alias("h")))
+
+    def apart(hits: Column) -> Column:
+        start, end = lambda c: c["h"]["paragraph"], lambda c: c["h"]["paragraph"] + c["n"]
+        over = lambda a, c: (a["h"]["k"] == c["h"]["k"]) & (start(a) < end(c)) & (start(c) < end(a)) & ((a["n"] < c["n"]) | ((a["n"] == c["n"]) & (start(a) < start(c))))
+        return F.array_sort(F.transform(F.filter(hits, lambda c: ~F.exists(hits, lambda a: over(a, c))), lambda c: c["h"]))
+
+    single = F.transform(found, lambda h: F.struct(F.lit(1).alias("n"), h.alias("h")))
+    wrapped = F.filter(let(F.split(text, "\n"), windows), lambda c: c["h"].isNotNull())
+    found = F.when(text.rlike(strong), let(F.concat(single, wrapped), apart)).otherwise(empty)
     names = F.array(*map(F.lit, model["families"]))
     told = docs.select(F.col(id_col).alias("doc_id"), found.alias("hits"))
     return told.select("doc_id", F.transform("hits", lambda h: F.struct(h["paragraph"].alias("paragraph"), F.get(names, h["k"]).alias("family"), F.round(h["p"], 6).alias("probability"))).alias("found"))
