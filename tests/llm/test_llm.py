@@ -107,24 +107,49 @@ def test_line_dedup(spark, odd):
     assert sorted((str(r.doc_id), str(r.text)) for r in same) == sorted((str(i), str(t)) for i, t in ODD)
 
 
-def test_line_dedup_finds_short_passages_anywhere(spark):
+def test_line_dedup_finds_passages_anywhere(spark):
+    """Of passages of over 50 words in whole lines, all lines go from the second document and none from the first."""
     rng = np.random.default_rng(3)
     rows, want = [], {}
     for k in range(60):
-        sentences = [" ".join(f"p{k}n{j}w{i}" for i in range(int(rng.integers(1, 30)))) + (".\n" if j % 3 else ". ") for j in range(12)]
-        n = next(n for n in range(1, 13) if len(" ".join(sentences[:n]).split()) > 50)
+        sentences = [" ".join(f"p{k}n{j}w{i}" for i in range(int(rng.integers(3, 24)))) + (".\n" if j % 3 else ". ") for j in range(20)]
+        n = next(n for n in range(1, 21) if len(" ".join(sentences[:n]).split()) > 50)
         for copy in range(2):
             before, after = ("".join(f"Own {side} of {k} in {copy} is number {j}. " for j in range(int(rng.integers(1, 6)))) for side in ("start", "end"))
             rows.append((2 * k + copy, before + "".join(sentences[:n]) + after))
             want[2 * k + copy] = before + after if copy else rows[-1][1]
-    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.text for r in got} == want
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_line_dedup_equals_brute_force(spark, docs):
+    """On whole sf0.001: chunks of two lines, kept where they first occur."""
+    cut = re.compile(line_dedup.LINE_END)
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    pieces = {i: [p for p in cut.split(t) if p] for i, t in rows}
+    first = {}
+    for i, p in pieces.items():
+        for k in range(len(p) - 1):
+            first.setdefault((p[k].rstrip(" \t\r\n"), p[k + 1].rstrip(" \t\r\n")), (i, k))
+    want = {}
+    for i, p in pieces.items():
+        gone = {k + d for k in range(len(p) - 1) for d in (0, 1) if first[p[k].rstrip(" \t\r\n"), p[k + 1].rstrip(" \t\r\n")] != (i, k)}
+        want[i] = ("".join(x for k, x in enumerate(p) if k not in gone), len(gone))
+    got = {r.doc_id: (r.text or "", r.n_chunks_removed) for r in line_dedup.dedup(docs).collect()}
+    assert got == want and sum(n for _, n in got.values()) > 0
 
 
 def test_line_dedup_compares_bytes(spark):
-    rows = [(1, 1, ["a", "b"], [(0, 7, True), (1, 8, True)]), (2, 2, ["a", "c"], [(0, 7, False), (1, 8, False)]), (3, 3, ["d"], None)]
-    met = spark.createDataFrame(rows, "doc_id long, text_key long, pieces array<string>, marks array<struct<place:int,key:long,keeps:boolean>>")
-    assert [tuple(r) for r in line_dedup.unequal(met).collect()] == [(2, 2, 1)]
+    rows = [(1, 1, ["a", "b", "x"], [(7, 0, True)]), (2, 2, ["a", "c"], [(7, 0, False)]), (3, 3, ["d"], None)]
+    met = spark.createDataFrame(rows, "doc_id long, text_key long, pieces array<string>, marks array<struct<key:long,place:int,own:boolean>>")
+    assert [tuple(r) for r in line_dedup.unequal(met).collect()] == [(2, 2, 0)]
+
+
+def test_line_dedup_of_repeated_rows_and_one_document(spark):
+    twice = "This line stands here alone. And this one stands after it. "
+    rows = [(1, twice + "Something else is between them. " + twice), (2, None), (3, ""), (5, twice), (5, twice), (None, twice)]
+    got = sorted(((r.doc_id or 0), r.text, r.n_chunks_removed) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != 2)
+    assert got == [(0, twice, 0), (1, twice + "Something else is between them. ", 2), (3, "", 0), (5, "", 2), (5, "", 2)]
 
 
 def test_line_dedup_keeps_columns_and_takes_no_rows(spark, odd):

@@ -1,15 +1,19 @@
-"""Line dedup by content-defined line chunks.
-
-A text is cut in lines (at line breaks and, so that one long line is no single unit, after sentence ends); every line
-keeps its own break, so the lines joined are the text. Chunks start at every line and end with the first line at which they
-have `MIN_WORDS` words, and the same backwards from every line; they overlap and depend on no foreign line. A repeated
-passage of that many words in whole lines is so covered by repeated chunks, all its lines, wherever it stands. A line of a
-chunk that occurred before anywhere in the corpus (smaller doc_id, then text_key, then place) is removed, after the chunk's
-bytes have been compared with those of the first one. Each removal points to an earlier place, so one copy of a line stays.
-
-Defined results. Null text stays null and empty text empty. Documents with a null doc_id are left as they are. Rows alike in
-doc_id and text are one document and treated alike; rows that share a doc_id only are told apart by their texts. Repeats
-under `MIN_WORDS` words are never removed. n_chunks_removed counts the lines that went.
+"""Line dedup by chunks of lines that overlap.
+
+A text is cut in lines: after a line break, a sentence end or, in long clauses, a clause mark, but only where no other such
+mark stands in the `{16}` (clauses `{40}`) characters before, so that a line is never a mere word. Every line keeps its own break, so the lines joined
+are the text. Cuts depend on the few characters before them alone, so a passage is cut alike wherever it stands. A rolling
+hash over `WINDOW` line hashes (of lines without trailing white space) gives each chunk's key. A chunk that occurred before
+anywhere in the corpus (smaller doc_id, then place) is removed with all its lines, after its bytes were compared with those of
+all other chunks of its key. Each removal points to an earlier place, so one copy of a line stays.
+
+Departure from the method: rolling hashes choose no boundaries; a chunk begins at every line. With boundaries at a share of the
+lines, a passage is found only if both ends of a chunk fall inside it, which loses most passages of 50 to 100 words.
+
+Defined results. Null text stays null and empty text empty; a text of one line stays. Documents with a null doc_id are left as
+they are. Rows that share a doc_id are one place in the order: what first occurs under that id stays in all of them. Repeated
+rows are treated alike. A repeat of a single line is never removed; of a repeat that begins or ends inside a line that part
+stays. Very long texts are cut like others. n_chunks_removed counts the lines that went. Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -19,104 +23,81 @@ from pyspark.sql import functions as F
 
 from .common import let, release, small, stored
 
-#: Least words of a repeat that may go; lines among which a chunk must reach them (lines without words count).
-MIN_WORDS, REACH = 10, 32
-#: A chunk is one number, its start times PACK and its lines: sorted and made distinct in linear time, unlike structs.
-PACK = 64
-LINE_END = r"(?<=\n)|(?<=[.!?]\x20)"
+#: Lines of a chunk.
+WINDOW = 2
+#: Where a line ends; the first group rules out most places fast.
+LINE_END = r"(?<=[\n\x20])(?:(?<=[^\n]{16}\n)|(?<=[^.!?\n]{16}[.!?]\x20)|(?<=[^.!?,;:\n]{40}[,;:]\x20))"
 
 
 def lines(text: Column) -> Column:
     return F.array_remove(F.split(text, LINE_END), "")
 
 
-def with_pieces(docs: DataFrame) -> DataFrame:
-    """Adds `pieces`, array<string>: the lines of `text`; and `chunks`, array<struct<start, n, key>>, by start: lines `n` from `start`, their hash."""
-    def reached(w: Column, i: Column, back: bool) -> Column:
-        """Lines from line i on (0-based) until MIN_WORDS words are reached; null if they are not."""
-        at = lambda k: F.coalesce(F.get(w, i - k if back else i + k), F.lit(0))
-        part = F.reverse(F.slice(w, F.greatest(i - REACH + 2, F.lit(1)), F.least(i + 1, F.lit(REACH)))) if back else F.slice(w, i + 1, F.lit(REACH))
-        far = F.aggregate(part, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda acc, x: F.when(acc["sum"] >= MIN_WORDS, acc).otherwise(F.struct((acc["sum"] + x).alias("sum"), (acc["n"] + 1).alias("n"))), lambda acc: F.when(acc["sum"] >= MIN_WORDS, acc["n"]))
-        return F.when(at(0) >= MIN_WORDS, 1).when(at(0) + at(1) >= MIN_WORDS, 2).when(at(0) + at(1) + at(2) >= MIN_WORDS, 3).otherwise(far)
+def bare(line: Column) -> Column:
+    """A line without its break and trailing blanks."""
+    return F.rtrim(line, F.lit(" \t\r\n"))
 
-    def spans(w: Column) -> Column:
-        each = F.sequence(F.lit(0), F.size(w) - 1)
-        on = F.transform(each, lambda i: i * PACK + reached(w, i, False))
-        back = F.transform(F.filter(each, lambda i: F.get(w, i) < MIN_WORDS), lambda i: let(reached(w, i, True), lambda n: (i - n + 1) * PACK + n))
-        return F.sort_array(F.array_distinct(F.array_compact(F.concat(on, back))))
 
-    cut = docs.withColumn("pieces", lines(F.coalesce("text", F.lit(""))))
-    n_words = F.transform("pieces", lambda y: F.regexp_count(y, F.lit(r"\S+")))
-    return cut.withColumn("chunks", F.when(F.size("pieces") > 0, let(n_words, spans)).otherwise(F.expr("cast(array() as array<int>)")))
+def keys_of(pieces: Column) -> Column:
+    """The rolling hash of every chunk, by its first line, from the hashes of its lines."""
+    none = F.expr("cast(array() as array<bigint>)")
+    each = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - WINDOW + 1), lambda _, i: F.xxhash64(F.slice(h, i + 1, F.lit(WINDOW))))
+    return F.when(F.size(pieces) >= WINDOW, let(F.transform(pieces, lambda y: F.xxhash64(bare(y))), each)).otherwise(none)
 
 
-def keys_of(pieces: Column, chunks: Column) -> Column:
-    """The hash of each chunk, from the hashes of its lines."""
-    return let(F.transform(pieces, lambda y: F.xxhash64(y)), lambda h: F.transform(chunks, lambda c: F.xxhash64(F.slice(h, start_of(c) + 1, lines_of(c)))))
+def repeats(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text_key, marks): of each text that holds a repeated key, array<struct<key, place, own>>, sorted.
 
-
-def start_of(chunk: Column) -> Column:
-    return F.shiftright(chunk, 6)
-
-
-def lines_of(chunk: Column) -> Column:
-    return F.pmod(chunk, F.lit(PACK))
-
-
-def repeats(chunks: DataFrame) -> DataFrame:
-    """(doc_id, text_key, marks): of each text that holds a repeated hash, array<struct<place, key, keeps>>, by place.
-
-    Only ids and hashes are read and shuffled, no texts. `keeps` tells the first occurrence, by doc_id, text_key and place.
+    Only ids and hashes are read and shuffled, no texts. `own`: the key first occurs under this doc_id.
     """
-    every = chunks.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.posexplode("keys").alias("place", "key"))
-    again = stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
-    hits = stored(every.join(small(again, again.count()), "key"), "hits")
-    first = hits.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("keep"))
-    mark = F.struct("place", "key", (F.struct("doc_id", "text_key", "place") == F.col("keep")).alias("keeps"))
-    return hits.join(first, "key").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(mark)).alias("marks"))
+    every = keyed.select("doc_id", "text_key", F.posexplode("keys").alias("place", "key"))
+    again = stored(every.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("key", "first"), "repeated")
+    hits = every.join(small(again, again.count()), "key")
+    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("key", "place", (F.col("doc_id") == F.col("first")).alias("own")))).alias("marks"))
 
 
 def unequal(met: DataFrame) -> DataFrame:
-    """(doc_id, text_key, place): marked occurrences whose bytes are not those of the kept one, though their hashes agree.
+    """(doc_id, text_key, place): marked chunks whose bytes are not the least of their key, though their hashes agree; from (doc_id, text_key, pieces, marks).
 
     All bytes of a key are compared by their least and greatest, which combine before the shuffle; a key where these differ
-    is settled occurrence by occurrence.
+    is settled chunk by chunk.
     """
-    marked = met.filter(F.col("marks").isNotNull()).select("doc_id", "text_key", F.explode(let(F.col("pieces"), lambda p: F.transform("marks", lambda m: F.struct(m["place"].alias("place"), m["key"].alias("key"), m["keeps"].alias("keeps"), F.get(p, m["place"]).alias("chunk"))))).alias("m")).select("doc_id", "text_key", "m.*")
-    unsafe = stored(marked.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("key"), "unsafe")
-    there = marked.join(small(unsafe, unsafe.count()), "key")
-    kept = there.filter("keeps").groupBy("key").agg(F.first("chunk").alias("kept"))
-    return stored(there.filter("not keeps").join(kept, "key").filter("chunk <> kept").select("doc_id", "text_key", "place").distinct(), "unequal")
+    chunk = lambda p, k: F.array_join(F.transform(F.slice(p, k + 1, F.lit(WINDOW)), lambda y: bare(y)), "\n")
+    shown = let(F.struct("pieces", "marks"), lambda r: F.transform(r["marks"], lambda m: F.struct(m["place"].alias("place"), m["key"].alias("key"), chunk(r["pieces"], m["place"]).alias("chunk"))))
+    marked = met.filter(F.col("marks").isNotNull()).select("doc_id", "text_key", F.explode(shown).alias("m")).select("doc_id", "text_key", "m.*")
+    unsafe = stored(marked.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("key", "least"), "unsafe")
+    return stored(marked.join(small(unsafe, unsafe.count()), "key").filter("chunk <> least").select("doc_id", "text_key", "place").distinct(), "unequal")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of repeated chunks taken out of text_col, and two columns more: n_chunks_removed, n_chars_removed (long).
 
-    All other columns of docs keep names, values and order. Texts are cut once and shuffled once, to meet their marks.
+    All other columns of docs keep names, values and order. Texts are shuffled once, to meet their marks.
     """
     own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
-    told = with_pieces(docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")))
-    chunks = stored(told.withColumn("pieces", F.when(F.col("text").isNotNull(), F.col("pieces"))).drop("text"), "chunks")
-    keyed = stored(chunks.filter(F.size("chunks") > 0).select("doc_id", "text_key", keys_of(F.col("pieces"), F.col("chunks")).alias("keys")), "keys")
+    told = docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    keyed = stored(told.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", let(lines(F.coalesce("text", F.lit(""))), keys_of).alias("keys")).filter(F.size("keys") > 0), "keys")
     marks = repeats(keyed).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
+    # Rows without an id meet nothing; their join key is spread, so that they are no hot key.
+    spread = told.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0))
+    met = stored(spread.join(marks.withColumn("m_spread", F.lit(0).cast("long")), (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")) & (F.col("spread") == F.col("m_spread")), "left").select("row", "doc_id", "text_key", "text", "marks"), "met")
     release(keyed)
-    met = stored(chunks.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").drop("m_id", "m_key"), "met")
-    release(chunks)
-    texts = let(F.struct("pieces", "chunks"), lambda r: F.transform(r["chunks"], lambda c: F.array_join(F.slice(r["pieces"], start_of(c) + 1, lines_of(c)), "")))
-    wrong = unequal(met.filter(F.col("marks").isNotNull()).withColumn("pieces", texts))
+    cut = met.withColumn("pieces", F.when(F.col("marks").isNotNull(), lines("text")))
+    wrong = unequal(cut)
     n_wrong = wrong.count()
-    gone = F.transform(F.filter("marks", lambda m: ~m["keeps"]), lambda m: m["place"])
+    # Marks are sorted by key, then place: of the chunks that a document holds first, the first place of each key stays.
+    earlier = lambda m, i: (i > 0) & F.coalesce((F.get("marks", i - 1)["key"] == m["key"]) & (F.get("marks", i - 1)["place"] < m["place"]), F.lit(False))
+    at = F.transform(F.filter("marks", lambda m, i: ~m["own"] | earlier(m, i)), lambda m: m["place"])
     if n_wrong:
         wrong = wrong.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("wrong"))
-        met = met.join(small(wrong, n_wrong), ["doc_id", "text_key"], "left")
-        gone = F.array_except(gone, F.coalesce("wrong", F.expr("cast(array() as array<int>)")))
-    of_chunk = lambda r: F.array_distinct(F.flatten(F.transform(r["gone"], lambda k: let(F.get(r["chunks"], k), lambda c: F.sequence(start_of(c), start_of(c) + lines_of(c) - 1)))))
-    met = met.withColumn("gone", F.coalesce(let(F.struct(gone.alias("gone"), "chunks"), of_chunk), F.expr("cast(array() as array<int>)")))
+        cut = cut.join(small(wrong, n_wrong), ["doc_id", "text_key"], "left")
+        at = F.array_except(at, F.coalesce("wrong", F.expr("cast(array() as array<int>)")))
+    gone = F.array_distinct(F.flatten(F.transform(at, lambda k: F.sequence(k, k + WINDOW - 1))))
+    cut = cut.withColumn("gone", F.coalesce(gone, F.expr("cast(array() as array<int>)")))
     some = F.size("gone") > 0
-    left = F.when(some, let(F.col("pieces"), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), ""))).otherwise(F.array_join("pieces", ""))
-    lost = F.when(some, let(F.col("pieces"), lambda p: F.aggregate("gone", F.lit(0).cast("long"), lambda n, i: n + F.char_length(F.get(p, i))))).otherwise(F.lit(0).cast("long"))
-    # In two steps, or names of docs like those used here would be taken for them inside the lambdas.
-    cut = met.select("row", left.alias("left"), F.size("gone").cast("long").alias("n"), lost.alias("lost"))
+    left = F.when(some, let(F.struct("pieces", "gone"), lambda r: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(r["pieces"]) - 1), r["gone"]), lambda i: F.get(r["pieces"], i)), ""))).otherwise(F.col("text"))
+    # In steps, or names of docs like those used here would be taken for them inside the lambdas.
+    cut = cut.select("row", "text", left.alias("left"), F.size("gone").cast("long").alias("n")).withColumn("some", F.col("n") > 0).select("row", "left", "n", F.when(F.col("some"), F.char_length("text") - F.char_length("left")).otherwise(0).cast("long").alias("lost"))
     kept = [F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return cut.select(*kept, F.col("n").alias("n_chunks_removed"), F.col("lost").alias("n_chars_removed"))
 
@@ -124,4 +105,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def stage(docs: DataFrame) -> DataFrame:
     """The documents without their repeated chunks, with their own columns; a text of which nothing is left goes."""
     cut = dedup(docs)
-    return cut.filter((F.col("n_chunks_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != "")).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    kept = cut.toDF(*names, "n_gone", "n_lost").filter((F.col("n_gone") == 0) | (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    return kept.select(*names).toDF(*docs.columns)
