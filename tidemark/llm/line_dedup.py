@@ -1,9 +1,8 @@
 """Line dedup by chunks of lines that overlap.
 
-A text is cut in lines: after a line break, a sentence end or, in long clauses, a clause mark, but only where no other such
-mark stands in the `{16}` (clauses `{40}`) characters before, so that a line is never a mere word. Every line keeps its own break, so the lines joined
-are the text. Cuts depend on the few characters before them alone, so a passage is cut alike wherever it stands. A rolling
-hash over `WINDOW` line hashes (of lines without trailing white space) gives each chunk's key. A chunk that occurred before
+A text is cut in lines: after a line break, after a sentence end, and after a clause mark; but only where no other mark of
+the kind stands in the 16 (clauses: 40) characters before, so that a line is no mere word. Lines keep their breaks. Cuts depend on the few characters before them alone, so a passage is cut alike wherever it stands. A rolling
+hash over `WINDOW` line hashes (of lines without their breaks) gives each chunk's key. A chunk that occurred before
 anywhere in the corpus (smaller doc_id, then place) is removed with all its lines, after its bytes were compared with those of
 all other chunks of its key. Each removal points to an earlier place, so one copy of a line stays.
 
@@ -25,35 +24,31 @@ from .common import let, release, small, stored
 
 #: Lines of a chunk.
 WINDOW = 2
-#: Where a line ends; the first group rules out most places fast.
-LINE_END = r"(?<=[\n\x20])(?:(?<=[^\n]{16}\n)|(?<=[^.!?\n]{16}[.!?]\x20)|(?<=[^.!?,;:\n]{40}[,;:]\x20))"
+#: What ends a line; a break is a line break or blank of which these hold. Both patterns name the same breaks.
+_MARKED = r"(?:(?<=[^\n]{15}[^\n\x20]\n)|(?<=[^.!?\n]{16}[.!?]\x20)|(?<=[^.!?,;:\n]{40}[,;:]\x20))"
+BREAK, AFTER_BREAK = r"[\n\x20]" + _MARKED, r"(?<=[\n\x20])" + _MARKED
 
 
-def lines(text: Column) -> Column:
-    return F.array_remove(F.split(text, LINE_END), "")
-
-
-def bare(line: Column) -> Column:
-    """A line without its break and trailing blanks."""
-    return F.rtrim(line, F.lit(" \t\r\n"))
+def bare(text: Column) -> Column:
+    """The lines without their breaks: array<string>. What follows a last break is a line only if there is something."""
+    return let(F.split(text, BREAK), lambda p: F.slice(p, F.lit(1), F.size(p) - F.when(F.element_at(p, -1) == "", 1).otherwise(0)))
 
 
 def keys_of(pieces: Column) -> Column:
     """The rolling hash of every chunk, by its first line, from the hashes of its lines."""
     none = F.expr("cast(array() as array<bigint>)")
-    each = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - WINDOW + 1), lambda _, i: F.xxhash64(F.slice(h, i + 1, F.lit(WINDOW))))
-    return F.when(F.size(pieces) >= WINDOW, let(F.transform(pieces, lambda y: F.xxhash64(bare(y))), each)).otherwise(none)
+    pair = lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
+    return F.when(F.size(pieces) >= WINDOW, let(F.transform(pieces, lambda y: F.xxhash64(y)), pair)).otherwise(none)
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text_key, marks): of each text that holds a repeated key, array<struct<key, place, own>>, sorted.
+    """(rid, marks): of each row of keyed (rid, doc_id, keys) with a repeated key, array<struct<key, place, first>>, sorted.
 
-    Only ids and hashes are read and shuffled, no texts. `own`: the key first occurs under this doc_id.
+    Only ids and hashes are read and shuffled, no texts. `first`: the least doc_id that holds the key.
     """
-    every = keyed.select("doc_id", "text_key", F.posexplode("keys").alias("place", "key"))
+    every = keyed.select("rid", "doc_id", F.posexplode("keys").alias("place", "key"))
     again = stored(every.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("key", "first"), "repeated")
-    hits = every.join(small(again, again.count()), "key")
-    return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("key", "place", (F.col("doc_id") == F.col("first")).alias("own")))).alias("marks"))
+    return every.drop("doc_id").join(again, "key").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("key", "place", "first"))).alias("marks"))
 
 
 def unequal(met: DataFrame) -> DataFrame:
@@ -62,8 +57,7 @@ def unequal(met: DataFrame) -> DataFrame:
     All bytes of a key are compared by their least and greatest, which combine before the shuffle; a key where these differ
     is settled chunk by chunk.
     """
-    chunk = lambda p, k: F.array_join(F.transform(F.slice(p, k + 1, F.lit(WINDOW)), lambda y: bare(y)), "\n")
-    shown = let(F.struct("pieces", "marks"), lambda r: F.transform(r["marks"], lambda m: F.struct(m["place"].alias("place"), m["key"].alias("key"), chunk(r["pieces"], m["place"]).alias("chunk"))))
+    shown = let(F.struct("pieces", "marks"), lambda r: F.transform(r["marks"], lambda m: F.struct(m["place"].alias("place"), m["key"].alias("key"), F.concat_ws("\n", F.get(r["pieces"], m["place"]), F.get(r["pieces"], m["place"] + 1)).alias("chunk"))))
     marked = met.filter(F.col("marks").isNotNull()).select("doc_id", "text_key", F.explode(shown).alias("m")).select("doc_id", "text_key", "m.*")
     unsafe = stored(marked.groupBy("key").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("key", "least"), "unsafe")
     return stored(marked.join(small(unsafe, unsafe.count()), "key").filter("chunk <> least").select("doc_id", "text_key", "place").distinct(), "unequal")
@@ -74,20 +68,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     All other columns of docs keep names, values and order. Texts are shuffled once, to meet their marks.
     """
+    # Rows without an id meet nothing; their key is spread, so that they are no hot key.
+    key = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(text_col))
     own = F.struct(*[F.col(c) for c in docs.columns if c != text_col])
-    told = docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    keyed = stored(told.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", let(lines(F.coalesce("text", F.lit(""))), keys_of).alias("keys")).filter(F.size("keys") > 0), "keys")
-    marks = repeats(keyed).withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
-    # Rows without an id meet nothing; their join key is spread, so that they are no hot key.
-    spread = told.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0))
-    met = stored(spread.join(marks.withColumn("m_spread", F.lit(0).cast("long")), (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")) & (F.col("spread") == F.col("m_spread")), "left").select("row", "doc_id", "text_key", "text", "marks"), "met")
+    told = docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))
+    of_text = let(bare(F.coalesce("text", F.lit(""))), keys_of)
+    keyed = stored(told.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", of_text.alias("keys")).filter(F.size("keys") > 0).withColumn("rid", F.monotonically_increasing_id()), "keys")
+    # Repeated rows have one place, and marks once.
+    marks = keyed.select("rid", F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key")).join(repeats(keyed), "rid").dropDuplicates(["m_id", "m_key"])
+    met = stored(told.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").select("row", "doc_id", "text_key", "text", "marks"), "met")
     release(keyed)
-    cut = met.withColumn("pieces", F.when(F.col("marks").isNotNull(), lines("text")))
-    wrong = unequal(cut)
+    wrong = unequal(met.withColumn("pieces", F.when(F.col("marks").isNotNull(), bare(F.col("text")))))
     n_wrong = wrong.count()
+    cut = met.withColumn("pieces", F.when(F.col("marks").isNotNull(), F.split("text", AFTER_BREAK)))
     # Marks are sorted by key, then place: of the chunks that a document holds first, the first place of each key stays.
     earlier = lambda m, i: (i > 0) & F.coalesce((F.get("marks", i - 1)["key"] == m["key"]) & (F.get("marks", i - 1)["place"] < m["place"]), F.lit(False))
-    at = F.transform(F.filter("marks", lambda m, i: ~m["own"] | earlier(m, i)), lambda m: m["place"])
+    at = F.transform(F.filter("marks", lambda m, i: (m["first"] != F.col("doc_id")) | earlier(m, i)), lambda m: m["place"])
     if n_wrong:
         wrong = wrong.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("wrong"))
         cut = cut.join(small(wrong, n_wrong), ["doc_id", "text_key"], "left")
