@@ -27,9 +27,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: how many licence paragraphs, their families, and each one's line, family and probability."""
+    """Every document: how many licence paragraphs, their families, and each one's line, family and probability; and how many lines name an unknown licence."""
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"), F.to_json("found").alias("found"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"), F.to_json("found").alias("found"), "n_unknown")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,10 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_benchma
 ORACLES: dict[str, str] = {
     "op2_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, r.vec_id, list_dot_product(q.e, r.e)::bigint as score from v q, v r where q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select *, sqrt(list_dot_product(e, e)) as l from v),
+s as (select q.vec_id as query_id, r.vec_id, case when len(q.e) = len(r.e) and q.l * r.l < 4503599627370496 then list_dot_product(q.e, r.e)::bigint
+  else list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1]::hugeint * p[2]::hugeint))::bigint end as score from n q, n r where q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
 qualify rank <= 5""",
 }
