@@ -32,6 +32,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def own_columns(df: DataFrame, *but: str) -> Column:
+    """struct `row` of the columns that are not named in but, as c<place>: so no name of df can clash with another."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c not in but], F.lit(True).alias("there")).alias("row")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -58,8 +63,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Removes the files of a stored table now: only after all that is read from it has itself been stored."""
+    """Removes the files of a stored table now: only after all that is read from it has itself been stored.
+
+    The driver's garbage is collected too, upon which Spark's cleaner removes the shuffle files of the jobs that are done.
+    """
     _forget(df.sparkSession, df.stored_at)
+    if (jvm := df.sparkSession.sparkContext._jvm) is not None:
+        jvm.java.lang.System.gc()
 
 
 def _forget(spark: SparkSession, path: str) -> None:

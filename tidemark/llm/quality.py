@@ -6,7 +6,9 @@ SAMPLE x DIMENSIONS floats) are broadcast; every document's cosines with all of
 its `NEIGHBOURS` nearest vote with their labels, weighted by similarity.
 
 Defined results: null counts as empty; an empty text, near to nothing, scores the sample's share of label 1. Without
-labelled rows every score is 0.5. Equal texts score alike whatever their ids.
+labelled rows every score is 0.5, and no rows give no scores. Equal texts score alike whatever their ids, so repeated rows do;
+neighbours that tie at the last place are taken by their place in the sample, ordered by id. Byte pairs of very long texts
+are counted whole. doc_id may be of any type that labels shares; columns of docs beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The model from at most `sample` labelled rows outside the held-out fold; their byte-pair counts come to the driver, sparse."""
-    chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,7 +54,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
             n = pa.array([c[k].astype(np.int32).tobytes() for c, k in seen], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), at, n], names=["doc_id", "quality", "at", "n"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(counts, "doc_id long, quality int, at binary, n binary").toPandas().sort_values("doc_id")
+    kind = dict(docs.dtypes)["doc_id"]
+
+    # One text an id, however often the id stands in either table: the bound holds.
+    told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min("text").alias("text"))
+    rows = told.mapInArrow(counts, f"doc_id {kind}, quality int, at binary, n binary").toPandas().sort_values("doc_id")
     if not len(rows):
         return {"share": 0.5, "vectors": None}
     x = np.zeros((len(rows), FEATURES), dtype=np.int32)
@@ -101,7 +107,13 @@ def scored(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     return told.mapInArrow(score, f"doc_id {dict(told.dtypes)['doc_id']}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
-def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    bad = scored(docs, fit(docs, labels)).filter("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+def stage(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows that are not rejected, with their own columns. Each row is judged by its own text, and nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(votes(sent.value, b.column(at).to_pylist()) >= cut))
+
+    return docs.mapInArrow(kept, docs.schema)
