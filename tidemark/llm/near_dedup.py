@@ -10,8 +10,10 @@ different classes that share one of their rarest shingles, where every similar p
 exact Jaccard similarity of their shingle sets; with pivots and hubs only those whose registers agree in `FLOOR` or more, as
 similar pairs that these leave apart meet again by a rare shingle. Classes are the connected components of the links.
 
-Defined results: texts of one to four words are one shingle; a text without words, or null, is alone in its class unless
-it has a copy; rows of one text share a class whatever their ids. class_id is the class's smallest doc_id.
+Defined results: texts of one to four words are one shingle; texts without words, and null, are copies of each other; rows of
+one text share a class whatever their ids. class_id is the class's smallest doc_id (null if no row of it has one). Rows that
+are repeated are all representatives if one is; stage() keeps exactly one row a class. Very long texts are compared whole. No
+rows give no classes. Only the two named columns are read; stage() returns all columns of docs as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ FLOOR = 0.6
 PARTS = 64
 #: Rounds in which the most linked node of a bucket is compared with all others of other classes.
 HUB_ROUNDS = 2
+#: A text that more than one in HOT rows share is broadcast to them instead of being a join key.
+HOT = 1000
 #: Words that are hashed together, and documents that go to Python in one batch: both bound a worker's memory.
 WORDS_AT_ONCE, ROWS_AT_ONCE = 50_000, 256
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
@@ -193,10 +197,26 @@ def _sharing_prefix(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, class_id, is_representative; and row_key, the text's fingerprint."""
+    """One row per document row: doc_id, class_id, is_representative."""
+    texts, of_text = _classed(docs, similarity, id_col, text_col)
+    met = _with_class(texts, of_text)
+    return met.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_representative"))
+
+
+def _with_class(texts: DataFrame, of_text: DataFrame) -> DataFrame:
+    """texts with the columns of of_text (unique by fp). A text that many rows share is no hot key: those of more than one row
+    in HOT, so fewer than HOT texts, are broadcast."""
+    hot = F.broadcast(of_text.filter("n > total / %d" % HOT))
+    few = texts.join(hot, "fp")
+    rest = texts.join(hot.select("fp"), "fp", "left_anti").join(of_text, "fp")
+    return few.unionByName(rest)
+
+
+def _classed(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts: doc_id, fp, h, row_key), stored, and of each distinct text (fp, n, total, class_id, keep: the row_key to keep of its class), stored."""
     hashed = lambda w: F.struct(F.md5(F.array_join(w, " ").cast("binary")).alias("fp"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))
-    texts = stored(docs.select(F.col(id_col).alias("doc_id"), let(words(F.col(text_col)), hashed).alias("of")).select("doc_id", "of.fp", "of.h"), "texts")
-    of_docs, told = texts.select("doc_id", "fp"), texts.select("fp", "h")
+    texts = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), let(words(F.col(text_col)), hashed).alias("of")).select("doc_id", "row_key", "of.fp", "of.h"), "texts")
+    of_docs, told = texts.select("doc_id", "row_key", "fp"), texts.select("fp", "h")
     signed = told.filter(F.size("h") > 0).mapInArrow(_signed, "fp string, sig array<int>")
     with _small_batches(docs.sparkSession):
         nodes = stored(signed.groupBy("fp").agg(F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -226,13 +246,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     if not more.isEmpty():
         found = components(links.union(more))
     named = nodes.select("node", "fp").join(found, "node", "left").select("fp", F.coalesce("label", "node").alias("label"))
-    of_class = of_docs.join(named, "fp", "left").withColumn("group", F.coalesce(F.col("label").cast("string"), "fp"))
-    first = of_class.groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    return of_class.join(first, "group").select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_representative"))
-
-
-def stage(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one of the smallest id, with its own columns; rows without an id stay."""
-    keep = classes(docs).filter("is_representative").select(F.col("doc_id").alias("keep_id")).distinct()
-    met = docs.join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi")
-    return met.union(docs.filter(F.col("doc_id").isNull()))
+    # By text, then by class, each combined before its shuffle: a class with a third of all rows is few rows here.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))).alias("first")
+    by_text = of_docs.groupBy("fp").agg(F.count("*").alias("n"), first)
+    total = of_docs.count()
+    grouped = stored(by_text.join(named, "fp", "left").withColumn("group", F.coalesce(F.col("label").cast("string"), "fp")).select("fp", "n", "first", "group"), "grouped")
+    best = grouped.groupBy("group").agg(F.min("first").alias("best"))
+    of_text = grouped.join(best, "group").select("fp", "n", F.lit(total).alias("total"), F.col("best.doc_id").alias("class_id"), F.col("best.row_key").alias("keep"))
+    return texts.select("doc_id", "row_key", "fp"), stored(of_text, "classes")
+
+
+def stage(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, that of the smallest id (of rows without one, any one), with its own columns."""
+    texts, of_text = _classed(docs, similarity, id_col, text_col)
+    kept = stored(of_text.select(F.col("keep").alias("row_key")).distinct().join(texts.select("row_key"), "row_key").groupBy("row_key").agg(F.count("*").alias("n")), "kept")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.xxhash64(id_col, text_col).alias("key"))
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    n_repeated = kept.filter("n > 1").count()
+    one = own.join(kept.filter("n = 1").select(F.col("row_key").alias("key")), "key", "left_semi").select(*columns)
+    if n_repeated:
+        again = own.join(small(kept.filter("n > 1").select(F.col("row_key").alias("key")), n_repeated), "key", "left_semi")
+        one = one.union(again.dropDuplicates(["key"]).select(*columns))
+    return one.toDF(*docs.columns)
