@@ -8,7 +8,9 @@ aggregation over all rows. Declared and suffix likelihoods are measured the same
 
 The byte-pair model is fitted on a bounded sample (`SAMPLE` documents a language, by hash of the id). Documents have no
 markup or address: their source is their host. Defined results: null or empty text leaves the decision to the other
-evidence, at worst to the overall prior; a null host has the overall prior; without labelled rows lang is null.
+evidence, at worst to the overall prior; a null host has the overall prior; without labelled rows lang is null; of languages
+that tie the first by name wins; repeated rows are judged row by row, each a part of its host's prior; no rows give none. Very
+long texts are counted whole. Id columns may have any names but text, declared, suffix, domain and host.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql.window import Window
 from .common import stored
 
 SAMPLE, FEATURES, TEXT_WEIGHT, SMOOTHING = 500, 4096, 20.0, 5.0
+#: Keys over which rows without one are dealt.
+NONE_KEYS = 4096
 
 
 def counted(text: str | None) -> np.ndarray:
@@ -80,8 +84,10 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     overall = told.agg(F.count("*"), *[F.coalesce(F.sum(F.get("p", i)), F.lit(0.0)) for i in range(n)]).first()
     base = F.array(*[F.lit((overall[i + 1] + 1) / (overall[0] + n)) for i in range(n)])
     met = told
+    # Rows without a key are dealt over many keys that no group has: they meet nothing, and are no hot key.
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*ids), F.lit(NONE_KEYS)).cast("string"))
     for key in ("suffix", "domain", "host", "declared"):
-        met = met.join(sums(key), key, "left")
+        met = met.withColumn("meets", F.coalesce(F.col(key), spread)).join(sums(key).withColumnRenamed(key, "meets"), "meets", "left").drop("meets")
     smooth = lambda key, prior: F.when(F.col(f"n_{key}").isNull(), prior).otherwise(F.zip_with(f"s_{key}", prior, lambda s, q: (s + SMOOTHING * q) / (F.col(f"n_{key}") + SMOOTHING)))
     at = met.withColumn("q1", smooth("suffix", base)).withColumn("q2", smooth("domain", F.col("q1"))).withColumn("q3", smooth("host", F.col("q2"))).withColumn("d", smooth("declared", base))
     # The declared language's likelihood is its posterior share over the overall prior.

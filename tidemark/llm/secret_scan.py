@@ -2,7 +2,7 @@
 
 One model is trained on labelled random strings, the other on labelled ordinary identifiers; a long token is a secret where
 the mean log-likelihood ratio of its character pairs is over a threshold midway between the classes' means. Samples are made
-by rule (`SAMPLES` each, a documented bound) and counted by grouped aggregation; the model is one array of 4,096 numbers.
+by rule (`SAMPLES` each, a documented bound) and counted by grouped aggregation; the model is one array of 4,489 numbers, one for each pair of the 66 token characters and "other".
 All of it is DataFrame functions.
 
 Places are code points, end exclusive. A pattern's matches are the leftmost that do not overlap; as many texts lie between
@@ -24,6 +24,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # runs are maximal, so the least length can stand
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"  # whole runs, with digits or without: the models decide
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+CLASSES = len(ALPHABET) + 1
 SAMPLES = 3000
 PARTS = ["get", "set", "user", "name", "value", "max", "min", "count", "index", "file", "path", "data", "list", "table", "row", "column", "time", "date", "start", "end", "config", "server", "client", "request", "response", "handler", "manager", "service", "update", "delete", "create", "read", "write", "buffer", "string", "number", "total", "item", "order", "price", "status", "error", "message", "version", "2024", "v1", "01", "100"]
 #: More ordinary words, so that the second model knows the letter pairs of ordinary identifiers.
@@ -51,13 +52,13 @@ width window winter wire without word work world wrap yellow young zero zone
 
 
 def _code(c: Column) -> Column:
-    """The place of a character in ALPHABET, folded to 64 classes."""
-    return F.pmod(F.instr(F.lit(ALPHABET), c), F.lit(64))
+    """The class of a character: its place in ALPHABET, 0 for any other."""
+    return F.instr(F.lit(ALPHABET), c)
 
 
 def _pairs(s: Column) -> Column:
     """The codes of all neighbouring characters."""
-    return F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: _code(F.substring(s, i, F.lit(1))) * 64 + _code(F.substring(s, i + 1, F.lit(1))))
+    return F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: _code(F.substring(s, i, F.lit(1))) * CLASSES + _code(F.substring(s, i + 1, F.lit(1))))
 
 
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
@@ -75,18 +76,18 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def train(spark: SparkSession) -> tuple[list[float], float]:
-    """Log-likelihood ratio of each pair of character classes (4,096, add-half smoothed), and the threshold of its mean."""
+    """Log-likelihood ratio of each pair of character classes (CLASSES squared, add-half smoothed), and the threshold of its mean."""
     labelled = samples(spark)
     counts = labelled.select("secret", F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("pair").agg(F.sum("secret").alias("r"), F.sum(1 - F.col("secret")).alias("o"))
-    first = counts.withColumn("a", F.floor(F.col("pair") / 64)).groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
+    first = counts.withColumn("a", F.floor(F.col("pair") / CLASSES)).groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
     of_a = {x["a"]: (x["ra"], x["oa"]) for x in first.collect()}
     seen = {x["pair"]: (x["r"], x["o"]) for x in counts.collect()}
     from math import log
 
     table = []
-    for pair in range(4096):
-        (r, o), (ra, oa) = seen.get(pair, (0, 0)), of_a.get(pair // 64, (0, 0))
-        table.append(log((r + 0.5) / (ra + 32)) - log((o + 0.5) / (oa + 32)))
+    for pair in range(CLASSES * CLASSES):
+        (r, o), (ra, oa) = seen.get(pair, (0, 0)), of_a.get(pair // CLASSES, (0, 0))
+        table.append(log((r + 0.5) / (ra + CLASSES / 2)) - log((o + 0.5) / (oa + CLASSES / 2)))
     mean = {x["secret"]: x["m"] for x in labelled.groupBy("secret").agg(F.avg(score(F.col("s"), table)).alias("m")).collect()}
     return table, (mean[0] + mean[1]) / 2
 
