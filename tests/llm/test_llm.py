@@ -52,6 +52,46 @@ def test_topk_prunes_no_true_row():
             assert best(rows, q, 5, want[-1]) == best(rows, q, 5, want[-1] * 0.6) == want
 
 
+@pytest.mark.parametrize("width,scale,shift", [(2, 1, 0), (3, 1, -3), (8, 1, -3), (64, 1, 0), (8, 1e6, 0)])
+def test_topk_equals_sql_on_any_sign_and_size(spark, width, scale, shift):
+    rng = np.random.default_rng(width)
+    v = rng.normal(size=(300, width)) * scale
+    v[:, 0] += shift * scale
+    assert_topk(spark, [(i, [float(x) for x in r]) for i, r in enumerate(v)])
+
+
+def test_topk_of_odd_rows(spark):
+    assert_topk(spark, [(1, None), (50, [1.0, 2.0]), (50, [1.0, 2.0]), (100, [0.5, 0.1]), (None, [1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [2.0]), (5, [2.0]), (6, [2.0]), (7, []), (150, [0.0, 0.0])])
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, v int, norm int, rank int")).count() == 0
+
+
+def assert_topk(spark, rows):
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    want = con.execute(queries.ORACLES["op2_exact_topk"] + " order by query_id, rank, vec_id").fetchall()
+    got = topk.top_k(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, q string"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_phrases_and_proximity(spark):
+    index = decontamination.build_index(spark.createDataFrame([(1, "a b c a b x c"), (2, "c b a b c"), (3, None)], "key long, text string"))
+    assert sorted(tuple(r) for r in decontamination.phrase_matches(index, ["a", "b", "c"]).collect()) == [(1, 0), (2, 2)]
+    assert decontamination.phrase_matches(index, []).count() == 0
+    got = sorted(tuple(r) for r in decontamination.proximity_matches(index, "a", "c", 2).collect())
+    assert got == [(1, 0, 2), (1, 3, 2), (2, 2, 0), (2, 2, 4)]
+    item = " ".join(f"w{k}" for k in range(13))
+    near = item.replace("w0 ", "w0 and then ")
+    rows = [(1, item), (2, near), (3, "nothing of the kind"), (3, item), (None, item), (None, "clean")]
+    docs = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, key string, n_hit int")
+    bench = spark.createDataFrame([("7", item), (None, "w0 zz")], "item_id string, text string")
+    scanned = decontamination.scan(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.n_hit, r.n_near) for r in scanned) == [("1", 13, 0), ("2", 0, 1), ("3", 0, 0), ("3", 13, 0), ("None", 0, 0), ("None", 13, 0)]
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("2", near), ("3", "nothing of the kind"), ("None", "clean")]
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     windows = defaultdict(set)
@@ -209,10 +249,84 @@ def test_packing(docs, odd):
     out = packing.pack(docs).toPandas().merge(docs.toPandas(), on="doc_id")
     bins = out.groupby(["bin_shard", "bin"])
     assert (bins.n_words.sum() + bins.size() <= packing.CAPACITY).all() and bins.source.nunique().eq(bins.size()).all()
-    assert bins.apply(lambda g: g[["text", "piece"]].drop_duplicates().shape[0] == len(g)).all()
+    assert not out.duplicated(["bin_shard", "bin", "text", "piece"]).any()
     assert packing.pack(odd).select("doc_id").distinct().count() == 6
 
 
+def test_packing_equals_plain_best_fit(spark):
+    """A search over all bins for the tightest that fits and holds neither source nor cluster."""
+    rng = np.random.default_rng(7)
+    sizes = sorted((int(x) for x in rng.integers(1, 60, 300)), reverse=True)
+    sources, clusters = rng.integers(0, 40, 300).tolist(), [None if x > 60 else x for x in rng.integers(0, 90, 300).tolist()]
+    bins, want = [], []
+    for n, s, c in zip(sizes, sources, clusters, strict=True):
+        fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and s not in b["s"] and (c is None or c not in b["c"])]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append({"left": 100, "s": set(), "c": set()})
+        want.append((k, 100 - bins[k]["left"]))
+        bins[k]["left"] -= n
+        bins[k]["s"].add(s)
+        bins[k]["c"].add(c)
+    assert packing.best_fit(sizes, sources, clusters, 100) == want
+
+
+def test_packing_texts_words_and_shards(spark):
+    rows = [(1, "\n\n", "a"), (2, "\nfoo", "b"), (3, " one  two\nthree four ", "c"), (4, None, None), (5, "same", "d"), (5, "same", "d"), (6, "x " * 50, "e"), (7, "near", "f"), (8, "nearly", "g")]
+    docs = spark.createDataFrame([(*r, 1 if r[0] in (7, 8) else r[0] * 10, 0) for r in rows], "doc_id long, text string, source string, cluster long, n int")
+    got = packing.pack(docs, capacity=4, with_text=True).toPandas().sort_values(["doc_id", "piece"])
+    assert got.groupby("doc_id").n_words.sum().to_dict() == {1: 0, 2: 1, 3: 4, 4: 0, 5: 2, 6: 50, 7: 1, 8: 1}
+    assert "".join(got[got.doc_id == 3].text) == "one  two\nthree four " and "".join(got[got.doc_id == 6].text) == "x " * 50
+    by_class = packing.pack(docs, cluster_col="cluster").toPandas().set_index("doc_id")
+    assert by_class.loc[7, "bin"] != by_class.loc[8, "bin"]
+    same = spark.range(200).selectExpr("1L as doc_id", "'a b' as text", "cast(null as string) as source")
+    assert packing.pack(same, shard=10).groupBy("bin_shard").count().count() > 10
+    assert packing.pack(docs.limit(0)).count() == 0
+
+def test_near_dedup_stage_keeps_one_row_a_class(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long), (1, long), (2, long + " more"), (None, "alone here"), (None, "alone here"), (3, None), (4, ""), (5, "another text of its own")]
+    docs = spark.createDataFrame([(i, t, "k", 0, "x") for i, t in rows], "doc_id long, text string, keep_id string, key int, row_key string")
+    kept = near_dedup.stage(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", long), ("3", "None"), ("5", "another text of its own"), ("None", "alone here")]
+    assert near_dedup.stage(docs.limit(0)).count() == 0
+
+
+def test_quality_stage_judges_row_by_row(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    judged = quality.scored(docs, model).collect()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = (next(text[r.doc_id] for r in judged if r.predicted == want) for want in (1, 0))
+    rows = [(-1, good, "a", 1), (-1, bad, "b", 2), (None, good, "c", 3), (None, bad, "d", 4)]
+    some = docs.select("doc_id", "text", F.lit("e").alias("bad_id"), F.lit(5).alias("score"))
+    every = spark.createDataFrame(rows, "doc_id long, text string, bad_id string, score int").union(some)
+    got = [tuple(r) for r in quality.stage(every, labels).filter("score < 5").collect()]
+    assert quality.stage(every, labels).columns == every.columns and sorted(got, key=str) == sorted([rows[0], rows[2]], key=str)
+    as_text = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert quality.scored(as_text.limit(3), quality.fit(as_text, labels.withColumn("doc_id", F.col("doc_id").cast("string")))).count() == 3
+    assert quality.stage(docs.limit(0), labels).count() == 0
+    assert {r.score for r in quality.scored(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_quality_equals_plain_vote(docs, spark):
+    """Scores against cosines with every labelled vector, one by one."""
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [r.text for r in docs.limit(30).collect()] + ["", None]
+    k = min(quality.NEIGHBOURS, len(model["vectors"]))
+    for text, got in zip(texts, quality.votes(model, texts), strict=True):
+        c = quality.counted(text).astype(float)
+        x = np.log1p(c * 1000 / max(c.sum(), 1)) * model["idf"]
+        q = x / max(np.linalg.norm(x), 1e-12) @ model["basis"]
+        cosine = np.array([v @ q for v in model["vectors"]]) / max(np.linalg.norm(q), 1e-12)
+        near = np.argsort(-cosine, kind="stable")[:k]
+        w = np.maximum(cosine[near], 0) ** 4
+        assert got == pytest.approx(float((w * model["labels"][near]).sum() / w.sum()) if c.sum() else model["share"], abs=2e-3)
+
+
 def test_quality(spark, docs, odd):
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     got = quality.scored(odd, model).toPandas()
@@ -246,3 +360,21 @@ def test_license_scan_wrapped(spark):
     rows = [(1, "Some words.\n# Licensed under the\n# Apache License, Version 2.0\nMore."), (2, "/* This work is licensed under\n * the GNU General Public\n * License, version 3 */"), (3, "Licensed under the\n\nApache street was long."), (4, "He showed his license\nat MIT."), (5, "Released under the MIT License.\nMore words.")]
     got = {r.doc_id: [(x.paragraph, x.family) for x in r.found] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == [(1, "Apache-2.0")] and [f for _, f in got[2]] == ["GPL"] and got[3] == got[4] == [] and got[5] == [(0, "MIT")]
+
+
+def test_license_scan_families_versions_and_unknown(spark):
+    from tidemark.llm import license_scan
+
+    known = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA", "SPDX-License-Identifier: ISC": "ISC",
+        "This is free and unencumbered software released into the public domain.": "Unlicense", "Licensed under the EUPL, version 1.2": "EUPL-1.2",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "EPL-2.0",
+        "This program is free software: you can redistribute it\nand/or modify it under the terms of the GNU General Public License": "GPL",
+        "Unless required by applicable law or agreed to in writing, software distributed under the\nLicense is distributed on an AS IS BASIS": "Apache-2.0",
+    }
+    unknown = ["This is not released under the MIT License.", "Apache License, Version 1.1", "Licensed under the Wibble Public License", "The driver lost the licence on the way."]
+    plain = ["He walked by the sea.", "", "One by one they left. nc"]
+    rows = list(enumerate([*known, *unknown, *plain]))
+    got = {r.doc_id: ([x.family for x in r.found], r.n_unknown) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows[: len(known)]} == {t: ([f], 0) for t, f in known.items()}
+    assert [got[i] for i, _ in rows[len(known) :]] == [([], 1)] * len(unknown) + [([], 0)] * len(plain)

@@ -25,7 +25,8 @@ from .common import let, release, small, stored
 #: Lines of a chunk.
 WINDOW = 2
 #: What ends a line; a break is a line break or blank of which these hold. Both patterns name the same breaks.
-_MARKED = r"(?:(?<=[^\n]{15}[^\n\x20]\n)|(?<=[^.!?\n]{16}[.!?]\x20)|(?<=[^.!?,;:\n]{40}[,;:]\x20))"
+#: The short look-behinds come first: most blanks follow a letter and need no long one.
+_MARKED = r"(?:(?<=\n)(?<=[^\n]{15}[^\n\x20]\n)|(?<=[.!?]\x20)(?<=[^.!?\n]{16}[.!?]\x20)|(?<=[,;:]\x20)(?<=[^.!?,;:\n]{40}[,;:]\x20))"
 BREAK, AFTER_BREAK = r"[\n\x20]" + _MARKED, r"(?<=[\n\x20])" + _MARKED
 
 
