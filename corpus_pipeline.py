@@ -27,7 +27,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, with_text=True)
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, line_deduplication, near_deduplication, benchmark_decontamination, best_fit_packing)]
