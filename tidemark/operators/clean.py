@@ -21,12 +21,12 @@ def clean(df: DataFrame, least: int = 10) -> DataFrame:
     kept = df.withColumn("time", finite(F.col("time"))).withColumn("flux", finite(F.col("flux"))).dropna(subset=["time", "flux"])
     if "flux_err" not in df.columns:
         kept = kept.withColumn("flux_err", 0.01 * F.stddev_samp("flux").over(series()))
-    return kept.withColumn("n_points", F.count("*").over(series())).filter(F.col("n_points") >= least).drop("n_points")
+    return kept.withColumn("__n", F.count("*").over(series())).filter(F.col("__n") >= least).drop("__n")
 
 
 def sigma_clip(df: DataFrame, sigma: float = 5.0) -> DataFrame:
     """One pass: |flux - median| < sigma std(ddof 0). A constant series keeps no row."""
-    return df.withColumn("_m", F.median("flux").over(series())).withColumn("_s", F.stddev_pop("flux").over(series())).filter(F.abs(F.col("flux") - F.col("_m")) < sigma * F.col("_s")).drop("_m", "_s")
+    return df.withColumn("__m", F.median("flux").over(series())).withColumn("__s", F.stddev_pop("flux").over(series())).filter(F.abs(F.col("flux") - F.col("__m")) < sigma * F.col("__s")).drop("__m", "__s")
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -54,9 +54,9 @@ def summary(df: DataFrame) -> DataFrame:
 
 def global_stats(df: DataFrame) -> DataFrame:
     """Moments, percentiles and the median absolute deviation of each series."""
-    spread = df.withColumn("_d", F.abs(F.col("flux") - F.median("flux").over(series())))
+    spread = df.withColumn("__d", F.abs(F.col("flux") - F.median("flux").over(series())))
     p = lambda q: F.percentile("flux", F.lit(q))
     return spread.groupBy("series_id").agg(
-        F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("std"), F.median("flux").alias("median"), F.median("_d").alias("mad"), F.skewness("flux").alias("skew"), F.kurtosis("flux").alias("kurtosis"),
+        F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("std"), F.median("flux").alias("median"), F.median("__d").alias("mad"), F.skewness("flux").alias("skew"), F.kurtosis("flux").alias("kurtosis"),
         p(0.05).alias("p05"), p(0.25).alias("p25"), p(0.75).alias("p75"), p(0.95).alias("p95"), (p(0.75) - p(0.25)).alias("iqr"),
     )

@@ -16,7 +16,7 @@ def point_anomalies(df: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 def simple_transits(df: DataFrame, k: float = 3.0) -> DataFrame:
     """Rows with flux < median - k std."""
-    return df.withColumn("_t", F.median("flux").over(series()) - k * F.stddev_pop("flux").over(series())).filter(F.col("flux") < F.col("_t")).drop("_t")
+    return df.withColumn("__t", F.median("flux").over(series()) - k * F.stddev_pop("flux").over(series())).filter(F.col("flux") < F.col("__t")).drop("__t")
 
 
 def transit_events(indexed: DataFrame, depth: float = 0.01, least: int = 3) -> DataFrame:

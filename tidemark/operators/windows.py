@@ -30,9 +30,22 @@ def statistics(df: DataFrame, ws: int = 50) -> DataFrame:
     return mad.withColumn("median", middle(F.col("x"))).withColumn("d", F.array_sort(F.transform("x", lambda v: F.abs(v - F.col("median"))))).withColumn("mad", middle(F.col("d"))).drop("x", "d")
 
 
-def to_points(df: DataFrame, flags: DataFrame, ws: int = 50) -> DataFrame:
-    """Vote of the windows (series_id, window_id, flag 0/1) on every point: is_vote (> half), is_any (any), n_windows; uncovered points: neither, 0."""
+def to_points(df: DataFrame, flags: DataFrame, ws: int = 50, lowest: float = 0.1) -> DataFrame:
+    """The windows' flags (series_id, window_id, flag 0/1, and score if there is one) on every point.
+
+    is_vote (over half of its windows), is_any, n_windows; with scores also point_score (their mean, lower: odder; 0 without
+    a window) and is_score (under the `lowest` quantile of its series, but for rounding). Points that no window covers are kept. Points are
+    multiplied once and meet their windows once.
+    """
+    st = stride_of(ws)
     indexed = df if "idx" in df.columns else index_points(df)
-    m = members(indexed, ws).select("series_id", "idx", "window_id").join(flags, ["series_id", "window_id"])
-    votes = m.groupBy("series_id", "idx").agg((F.avg("flag") > 0.5).alias("is_vote"), (F.max("flag") > 0).alias("is_any"), F.count("*").alias("n_windows"))
-    return indexed.select("series_id", "idx").join(votes, ["series_id", "idx"], "left").fillna({"is_vote": False, "is_any": False, "n_windows": 0})
+    low = F.greatest(F.lit(0), F.ceil((F.col("idx") - ws + 1) / st)).cast("int")
+    high = F.least(F.floor(F.col("idx") / st), F.floor((F.col("n") - ws) / st)).cast("int")
+    every = indexed.select("series_id", "idx", F.explode_outer(F.when((F.col("n") >= ws) & (low <= high), F.sequence(low, high))).alias("window_id"))
+    scored = "score" in flags.columns
+    mean = [F.coalesce(F.avg("score"), F.lit(0.0)).alias("point_score")] if scored else []
+    votes = every.join(flags, ["series_id", "window_id"], "left").groupBy("series_id", "idx").agg(F.coalesce(F.avg("flag") > 0.5, F.lit(False)).alias("is_vote"), F.coalesce(F.max("flag") > 0, F.lit(False)).alias("is_any"), F.count("flag").alias("n_windows"), *mean)
+    if not scored:
+        return votes
+    cut = votes.groupBy("series_id").agg(F.percentile("point_score", F.lit(lowest)).alias("__cut"))
+    return votes.join(cut, "series_id").withColumn("is_score", F.col("point_score") < F.col("__cut") - 1e-9 * F.abs("__cut")).drop("__cut")

@@ -41,3 +41,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(host, (9100 + 50 * (F.col("s_suppkey") % 7)).cast("double")).alias("epoch"),
         F.when(host, F.lit(480.0)).alias("duration_hours"),
     )
+
+
+def lc_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem's daily totals as one series, in whole units so that no order of adding matters."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    day = (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)") / 86400e6).alias("time")
+    return rows.groupBy(day).agg(F.sum(F.round(F.col("l_extendedprice")).cast("long")).cast("double").alias("flux")).select(F.lit(1).alias("series_id"), "time", "flux", F.struct("time").alias("ord"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as model rows: id, features (array<double>), truth (label 0 is the anomaly)."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("label") == 0).cast("int").alias("truth"))
