@@ -27,7 +27,7 @@ def lomb_scargle(df: DataFrame, n_frequencies: int = 1000) -> DataFrame:
     Four sums a frequency, combined before the shuffle, give the power: a long series is never one task. Series without a
     span or a step have no rows.
     """
-    at = df.join(grid(df, n_frequencies).filter("span > 0 and cadence > 0"), "series_id").select("series_id", "n", (F.col("flux") - F.col("mean")).alias("y"), "time", "low", "step", F.explode(F.sequence(F.lit(0), F.lit(n_frequencies - 1))).alias("k"))
+    at = df.select("series_id", "time", "flux").join(grid(df, n_frequencies).filter("span > 0 and cadence > 0"), "series_id").select("series_id", "n", (F.col("flux") - F.col("mean")).alias("y"), "time", "low", "step", F.explode(F.sequence(F.lit(0), F.lit(n_frequencies - 1))).alias("k"))
     w = F.col("low") + F.col("k") * F.col("step")
     c, s = F.cos(w * F.col("time")), F.sin(w * F.col("time"))
     total = at.groupBy("series_id", "k").agg(
