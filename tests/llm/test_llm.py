@@ -126,6 +126,13 @@ def test_secrets(docs, odd):
         assert sorted((str(r.doc_id), r.base_sha256) for r in got) == sorted((str(r.doc_id), spans(r.text or "")) for r in df.collect())
 
 
+def test_numbers_and_stamps_are_no_secrets(spark):
+    plain = ["ISBN-978-3-16-148410-0", "+49-301-2345678-99-123", "2024-03-15T10-22-33+0100", "/usr/local/lib/python3/user_12", "Donaudampfschifffahrtsgesellschaft", "invoice-2023-11-000482-7712", "0049/30/1234567/0012/33"]
+    secret = ["3f9a7c21e4b84d06A1c5", "sk_live_51HxQzT2eLkW9vBnRmYp", "ghp_a8Kd02LqXz71MnBvTfYw3RjU", "9c5b94b1-35ad-49bb-b118-8e8fc24abf80"]
+    got = {r.doc_id: len(r.added) for r in secret_scan.scan(spark.createDataFrame([(t, f"see {t} there") for t in plain + secret], "doc_id string, text string")).collect()}
+    assert got == {t: 0 for t in plain} | {t: 1 for t in secret}
+
+
 def test_secrets_without_early_digits(spark):
     import base64
 
@@ -222,6 +229,25 @@ def test_near_dedup(docs, odd):
     assert near_dedup.classes(odd).count() == len(ODD)
 
 
+def test_registers_estimate_probability_jaccard():
+    """Of weighted sets: the sum over common elements of 1 / sum over all elements of the greater ratio to it."""
+    rng = np.random.default_rng(11)
+    found, want = [], []
+    for _ in range(40):
+        shared, own = rng.integers(0, 2**62, 30), rng.integers(0, 2**62, (2, 8))
+        parts = [np.repeat(np.concatenate([shared, own[k]]), rng.integers(1, 6, 38)) for k in range(2)]
+        # Five equal words in a row are one shingle of their own: runs of a word stand for its weight.
+        values = [np.concatenate([np.repeat(p[p == w][:1], 4 + (p == w).sum()) for w in dict.fromkeys(p.tolist())]) for p in parts]
+        offsets = np.array([0, len(values[0]), len(values[0]) + len(values[1])])
+        row, s, count = near_dedup.elements(np.concatenate(values), offsets)
+        x, y = ({h: c for h, c, r in zip(s.tolist(), count.tolist(), row.tolist(), strict=True) if r == k} for k in range(2))
+        every = x.keys() | y.keys()
+        want.append(sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in x.keys() & y.keys()))
+        sig = near_dedup.signatures(np.concatenate(values), offsets, 96, weighted=True)
+        found.append((sig[0] == sig[1]).mean())
+    assert abs(np.mean(found) - np.mean(want)) < 0.03 and np.abs(np.array(found) - want).max() < 0.2
+
+
 def test_near_dedup_of_repeated_lines(spark):
     rows = []
     for k in range(8):

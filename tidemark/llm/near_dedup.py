@@ -2,9 +2,9 @@
 
 Equal word sequences are one node. A node's distinct shingles (five words) arrive as Poisson processes: each arrival picks a
 register, a register keeps its first arrival, and an element stops once its next arrival comes after the slowest register's.
-All shingles of a node have one weight, however often they occur, for then the probability Jaccard similarity, with which two
-registers agree, is the plain Jaccard similarity by which links are defined; weights from counts would lose near copies in
-which one text repeats lines. Bands of registers make buckets; in each bucket all nodes are compared with one pivot, the same smallest node for
+Here all shingles of a node have one weight, however often they occur, for then the probability Jaccard similarity, with which
+two registers agree, is the plain Jaccard similarity by which links are defined; weights from counts (signatures() takes them)
+would lose near copies in which one text repeats lines. Bands of registers make buckets; in each bucket all nodes are compared with one pivot, the same smallest node for
 most buckets; in buckets that still hold several classes, with the most linked node, `HUB_ROUNDS` times; then nodes of
 different classes that share one of their rarest shingles, where every similar pair must meet. Pairs are verified by the
 exact Jaccard similarity of their shingle sets; with pivots and hubs only those whose registers agree in `FLOOR` or more, as
@@ -71,10 +71,15 @@ def elements(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[at], s[at], np.diff(np.append(at, len(s)))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """(rows, registers) int32: element hashes of the rows that values and offsets give, as for elements()."""
+def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTERS, weighted: bool = False) -> np.ndarray:
+    """(rows, registers) int32: element hashes of the rows that values and offsets give, as for elements().
+
+    weighted: an element arrives at a rate of its count, and registers agree with the probability Jaccard similarity of the
+    counts; else all arrive alike, and it is that of sets.
+    """
     n = np.diff(offsets)
-    row, s, _ = elements(values, offsets)
+    row, s, count = elements(values, offsets)
+    rate = count.astype(float) if weighted else np.ones(len(s))
     arrival = np.full((len(n), registers), np.inf)
     element = np.zeros((len(n), registers), dtype=np.uint64)
     flat, ids = arrival.reshape(-1), element.reshape(-1)
@@ -83,7 +88,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
     while len(s):
         turn += 1
         h = _mix(s + np.uint64((turn * MIX[2]) & 0xFFFFFFFFFFFFFFFF))
-        clock = clock - np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53)
+        clock = clock - np.log(((h >> np.uint64(11)).astype(float) + 0.5) / 2**53) / rate
         to = row * registers + (_mix(h) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(flat, to, clock)
         won = flat[to] == clock
@@ -92,7 +97,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, registers: int = REGISTE
         slowest = np.zeros(len(n))
         slowest[busy] = arrival[busy].max(1)
         go = clock < slowest[row]
-        row, s, clock = row[go], s[go], clock[go]
+        row, s, clock, rate = row[go], s[go], clock[go], rate[go]
     return _mix(element).astype(np.uint32).view(np.int32)
 
 

@@ -71,8 +71,15 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     snake = F.concat_ws("_", part(1), part(2), part(3), part(4), part(5))
     joined = F.when(F.col("id") % 4 == 1, F.translate(snake, "_", "-")).otherwise(F.concat(F.lit("/"), F.translate(snake, "_", "/")))
     camel = F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), F.initcap(part(4)), F.initcap(part(5)))
+    # Numbers that people write: ordinal, telephone and book numbers, dates, in groups of digits.
+    digits = lambda k, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**n)).cast("string"), n, "0")
+    number = F.concat(F.when(F.col("id") % 3 == 0, F.concat(F.upper(part(6)), F.lit("-"))).when(F.col("id") % 3 == 1, F.lit("+")).otherwise(""), F.concat_ws("-", F.substring(digits(7, 4), 1, 2), digits(8, 3), digits(9, 2), digits(10, 6), digits(11, 2), F.substring(digits(12, 5), 1, 4)))
+    number = F.when(F.col("id") % 4 == 2, F.translate(number, "-", "/")).when(F.col("id") % 4 == 3, F.translate(number, "-", "_")).otherwise(number)
+    stamp = F.concat(F.lit("20"), digits(13, 2), F.lit("-"), digits(14, 2), F.lit("-"), digits(15, 2), F.lit("T"), digits(16, 2), F.lit("-"), digits(17, 2), F.lit("-"), digits(18, 2), F.lit("+0"), digits(19, 3))
+    plain = F.when(F.col("id") % 4 == 0, snake).when(F.col("id") % 4 == 2, camel).otherwise(joined)
+    plain = F.when(F.col("id") % 7 == 5, number).when(F.col("id") % 14 == 6, stamp).otherwise(plain)
     ids = spark.range(n)
-    return ids.select(F.lit(1).alias("secret"), random.alias("s")).union(ids.select(F.lit(0).alias("secret"), F.when(F.col("id") % 4 == 0, snake).when(F.col("id") % 4 == 2, camel).otherwise(joined).alias("s")))
+    return ids.select(F.lit(1).alias("secret"), random.alias("s")).union(ids.select(F.lit(0).alias("secret"), plain.alias("s")))
 
 
 def train(spark: SparkSession) -> tuple[list[float], float]:
