@@ -75,10 +75,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     told = docs.select(own.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("text_key"))
     of_text = let(bare(F.coalesce("text", F.lit(""))), keys_of)
     keyed = stored(told.filter(F.col("doc_id").isNotNull()).select("doc_id", "text_key", of_text.alias("keys")).filter(F.size("keys") > 0).withColumn("rid", F.monotonically_increasing_id()), "keys")
-    # Repeated rows have one place, and marks once.
-    marks = keyed.select("rid", F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key")).join(repeats(keyed), "rid").dropDuplicates(["m_id", "m_key"])
-    met = stored(told.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").select("row", "doc_id", "text_key", "text", "marks"), "met")
+    # Repeated rows have one place, and marks once. Keys and their shuffles are gone before texts are shuffled.
+    marks = stored(keyed.select("rid", F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key")).join(repeats(keyed), "rid").dropDuplicates(["m_id", "m_key"]).drop("rid"), "marks")
     release(keyed)
+    met = stored(told.join(marks, (F.col("doc_id") == F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left").select("row", "doc_id", "text_key", "text", "marks"), "met")
+    release(marks)
     wrong = unequal(met.withColumn("pieces", F.when(F.col("marks").isNotNull(), bare(F.col("text")))))
     n_wrong = wrong.count()
     cut = met.withColumn("pieces", F.when(F.col("marks").isNotNull(), F.split("text", AFTER_BREAK)))
