@@ -19,6 +19,8 @@ DataFrame functions and pyspark.ml on the JVM.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +97,12 @@ def train(spark: SparkSession) -> dict:
     return learned
 
 
+@lru_cache(maxsize=4)
+def _trained(application: str) -> dict:
+    """train(), once an application: its texts are fixed."""
+    return train(SparkSession.active())
+
+
 def classed(g: Column, model: dict) -> Column:
     """struct(k, p, all): the likeliest class of a paragraph's n-grams, its probability, and those of all classes."""
     table = F.create_map(*[x for gram, w in model["weights"].items() for x in (F.lit(gram), F.array(*map(F.lit, w)))])
@@ -105,7 +113,7 @@ def classed(g: Column, model: dict) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, found: array<struct<paragraph, family, probability>>: the confirmed licence paragraphs of each text; n_unknown: lines that name a licence, of no known family."""
-    model = train(docs.sparkSession)
+    model = _trained(docs.sparkSession.sparkContext.applicationId)
     spark = docs.sparkSession
     rows = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string").select("family", let(words(F.col("text")), grams).alias("g")).collect()
     templates = F.array(*[F.struct(F.lit(model["families"].index(r.family)).alias("k"), F.array(*map(F.lit, r.g)).alias("g")) for r in rows if r.g])

@@ -12,6 +12,8 @@ repeated rows are scanned row by row.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,12 @@ def train(spark: SparkSession) -> tuple[list[float], float]:
     return table, (mean[0] + mean[1]) / 2
 
 
+@lru_cache(maxsize=4)
+def _trained(application: str) -> tuple[list[float], float]:
+    """train(), once an application: its samples are fixed."""
+    return train(SparkSession.active())
+
+
 def score(s: Column, table: list[float]) -> Column:
     ratios = F.array(*map(F.lit, table))
     return F.aggregate(_pairs(s), F.lit(0.0), lambda t, p: t + F.get(ratios, p.cast("int"))) / F.greatest(F.char_length(s) - 1, F.lit(1))
@@ -120,7 +128,7 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added: array<struct<start, ord, kind, end>>, by start, then kind in order."""
-    table, cut = train(docs.sparkSession)
+    table, cut = _trained(docs.sparkSession.sparkContext.applicationId)
     text = F.col("text")
     told = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = told.select("doc_id", _found(text, ASSIGN, "assign").alias("a"), _found(text, ACCESS, "access").alias("k"), _found(text, HEX, "hex").alias("h"), _found(text, TOKEN, "markov").alias("t"))
