@@ -7,13 +7,13 @@ import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-HEADLINE = ["lc_summary", "sigma_clip", "win_stats", "points_vote", "transit_events", "phase_labels", "areas_by_type"]
+HEADLINE = ["lc_summary", "sigma_clip", "win_stats", "window_features", "points_vote", "points_score", "transit_events", "phase_labels", "savgol", "periodogram", "lof_embeddings", "areas_by_type"]
 
 
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from tidemark.plans import queries as Q
+    from tidemark.plans import registry as Q
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
