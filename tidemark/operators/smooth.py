@@ -61,13 +61,21 @@ def running_mean(df: DataFrame, most: int = 50, share: int = 10) -> DataFrame:
     return points.withColumn("__near", near).withColumn("running_mean", F.when(full, total / F.col("__w"))).drop("__w", "__sum", "__near")
 
 
-def _cubic(u: Column, v: Column, m: Column) -> Column:
-    """Weight of place v in the cubic least-squares value at place u of the 2 m + 1 places around 0: a sum over orthogonal polynomials."""
-    two, three = m * (m + 1) / 3, (3 * m * m + 3 * m - 1) / 5
-    odd = 2 * m + 1
+def _cubic(near: Column, centre: Column, m: Column, u: Column) -> Column:
+    """The cubic least-squares value at place u of the 2 m + 1 places around centre, from four sums over the points near (idx, flux)
+    and orthogonal polynomials."""
+    zero = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(4)])
+
+    def add(t: Column, x: Column) -> Column:
+        v = (x["idx"] - centre).cast("double")
+        inside = F.when(F.abs(v) <= m, x["flux"]).otherwise(0.0)
+        return F.struct((t["s0"] + inside).alias("s0"), (t["s1"] + inside * v).alias("s1"), (t["s2"] + inside * v * v).alias("s2"), (t["s3"] + inside * v * v * v).alias("s3"))
+
+    two, three, odd = m * (m + 1) / 3, (3 * m * m + 3 * m - 1) / 5, 2 * m + 1
     norms = [odd, m * (m + 1) * odd / 3, m * (m + 1) * (2 * m - 1) * odd * (2 * m + 3) / 45, (m - 1) * m * (m + 1) * (m + 2) * (2 * m - 1) * odd * (2 * m + 3) / 175]
-    p = lambda x: [F.lit(1.0), x, x * x - two, x * x * x - x * three]
-    return sum((a * b / n for a, b, n in zip(p(u), p(v), norms, strict=True)), F.lit(0.0))
+    places = [F.lit(1.0), u, u * u - two, u * u * u - u * three]
+    sums = lambda t: [t["s0"], t["s1"], t["s2"] - two * t["s0"], t["s3"] - three * t["s1"]]
+    return F.aggregate(near, zero, add, lambda t: sum((s * p / n for s, p, n in zip(sums(t), places, norms, strict=True)), F.lit(0.0)))
 
 
 def savgol(df: DataFrame, length: int = 21) -> DataFrame:
@@ -79,8 +87,7 @@ def savgol(df: DataFrame, length: int = 21) -> DataFrame:
     near = F.collect_list(F.struct("idx", "flux")).over(series().orderBy("idx").rowsBetween(1 - length, length - 1))
     m = F.col("__m").cast("double")
     centre = F.col("__low") + F.col("__m")
-    inside = F.filter("__near", lambda x: x["idx"].between(F.col("__low"), F.col("__low") + 2 * F.col("__m")))
-    value = F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["flux"] * _cubic((F.col("idx") - centre).cast("double"), (x["idx"] - centre).cast("double"), m))
+    value = _cubic(F.col("__near"), centre, m, (F.col("idx") - centre).cast("double"))
     return points.withColumn("__near", near).withColumn("smooth", F.when(F.col("__m") >= 2, value).otherwise(F.col("flux"))).drop("__m", "__low", "__near")
 
 
