@@ -1,6 +1,7 @@
 """The operators against brute force on small fixtures."""
 
 import hashlib
+import json
 import re
 from collections import defaultdict
 
@@ -271,6 +272,34 @@ def test_token_counts(docs, odd):
     assert [token_counts.count(t, text, c, o) for c, o in ((4000, 200), (300, 3), (150, 40))] == [whole] * 3
 
 
+def test_remembered_parts_count_like_the_library():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = open(path, encoding="utf-8").read()
+    assert token_counts.splits_at_blanks(spec)
+    for other in (public_tokenizers.path("word_bpe_49k.json"),):  # its normalizer joins blanks
+        assert not token_counts.splits_at_blanks(open(other, encoding="utf-8").read())
+    for kind in ("lstrip", "rstrip", "single_word"):  # added tokens that reach over blanks
+        told = json.loads(spec)
+        told["added_tokens"][0][kind] = True
+        assert not token_counts.splits_at_blanks(json.dumps(told))
+    t = Tokenizer.from_file(path)
+    signs = [" ", " ", "  ", "a", "b", "'s", "\n", "\t", "\u00a0", "\u180e", "\x1c", "\u2028", "1", "é", "中", "!", "<|endoftext|>", "<|", "\u0308", "\U0001f600", "\u200b", "\x85"]
+    dice = random.Random(5)
+    remembered = token_counts.Remembered(t, room=3000)  # so small that it is emptied often
+    known = []
+    for _ in range(5000):
+        text = "".join(dice.choice(signs) for _ in range(dice.randint(0, 14)))
+        n, rest = remembered.reduced(text)
+        assert n + len(t.encode(rest, add_special_tokens=False)) == len(t.encode(text, add_special_tokens=False)), text
+        known.append(n)
+    assert sum(known) > 100  # some parts were remembered, though room is small
+
+
 def test_packing(docs, odd):
     out = packing.pack(docs).toPandas().merge(docs.toPandas(), on="doc_id")
     bins = out.groupby(["bin_shard", "bin"])

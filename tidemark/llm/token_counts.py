@@ -1,7 +1,9 @@
 """Token counts by overlap resynchronisation.
 
-Short texts are encoded whole. A text over `CHUNK` characters is encoded in overlapping chunks; in the overlap the chunks
-are spliced where a word of the pre-tokenizer ends in both. What follows such a place is split alike whatever came before
+Where the vocabulary splits words before single spaces (`splits_at_blanks`), a short text falls apart at every blank that
+follows a non-blank, and the counts of parts that come again are remembered by each worker, up to `REMEMBERED` bytes; with
+other vocabularies short texts are encoded whole. A text over `CHUNK` characters is encoded in overlapping chunks; in the
+overlap the chunks are spliced where a word of the pre-tokenizer ends in both. What follows such a place is split alike whatever came before
 it, and a place `margin` characters before a chunk's end cannot be moved by text beyond it, so the spliced tokens are those
 of the whole text. Where no such place is found, the next chunk starts further back, at worst where the last one did, with
 a longer reach. Tokens are never truncated, padded or added.
@@ -11,6 +13,8 @@ Defined results: null text counts as empty, 0 bytes and 0 tokens. Rows are indep
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,6 +25,68 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP, LIMIT = 65_536, 2_048, 512
 #: Characters of short texts that are encoded together.
 BATCH = 1_000_000
+#: Bytes, about, of pieces of text whose token counts a worker remembers.
+REMEMBERED = 64_000_000
+#: A blank after a non-blank. No word of the byte-level pre-tokenizer holds one but as its first character, and no word's
+#: end depends on what follows such a place, so the text may be cut before it. (The class of blanks here is the wider one.)
+BLANK = re.compile(r"\x20(?<=\S\x20)")
+
+
+def splits_at_blanks(spec: str) -> bool:
+    """Whether a text cut at BLANK has the tokens of its parts: a plain byte-level split, nothing that changes texts or reaches over blanks."""
+    told = json.loads(spec)
+    split = told.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    model = told.get("model") or {}
+    added = told.get("added_tokens") or []
+    return bool(
+        plain
+        and told.get("normalizer") is None
+        and told.get("post_processor") is None
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
+    )
+
+
+class Remembered:
+    """Token counts of the parts between BLANKs: a part that comes a second time is encoded by itself and then remembered."""
+
+    def __init__(self, tokenizer, room: int = REMEMBERED) -> None:
+        self.tokenizer, self.room = tokenizer, room
+        #: By what stands after the blank that a part begins with.
+        self.known: dict[str, int] = {}
+        self.once: set[str] = set()
+        self.known_size = self.once_size = 0
+
+    def _learn(self, parts: list[str]) -> None:
+        self.known.update(zip(parts, map(len, self.tokenizer.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)), strict=True))
+        self.once.difference_update(parts)
+
+    def reduced(self, text: str) -> tuple[int, str]:
+        """The tokens of the parts that are remembered, and a text of all other parts, in their order, which has the rest."""
+        # An entry takes about 150 bytes beside its text.
+        if self.known_size > self.room:
+            self.known.clear()
+            self.known_size = 0
+        if self.once_size > self.room:
+            self.once.clear()
+            self.once_size = 0
+        head, *parts = BLANK.split(text)
+        counts = list(map(self.known.get, parts))
+        if None not in counts:
+            return sum(counts), head
+        missed = [p for p, n in zip(parts, counts, strict=True) if n is None]
+        if again := list(self.once.intersection(missed)):
+            self._learn(again)
+            self.known_size += sum(map(len, again)) + 150 * len(again)
+            self.once_size -= sum(map(len, again)) + 150 * len(again)
+            counts = list(map(self.known.get, parts))
+            missed = [p for p, n in zip(parts, counts, strict=True) if n is None]
+        new = set(missed)
+        self.once |= new
+        self.once_size += sum(map(len, new)) + 150 * len(new)
+        return sum(filter(None, counts)), " ".join([head, *missed])
 
 
 def word_ends(encoding, text: str) -> dict[int, int]:
@@ -76,22 +142,28 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokenizer = Tokenizer.from_str(spec.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        remembered = Remembered(tokenizer) if splits_at_blanks(spec.value) else None
         for batch in rows:
             texts = batch.column(1).to_pylist()
             n = [0] * len(texts)
             held: list[int] = []
+            left: list[str] = []
             size = 0
 
-            def flush(texts=texts, n=n) -> None:
-                for i, e in zip(held, tokenizer.encode_batch_fast([texts[i] for i in held], add_special_tokens=False), strict=True):
-                    n[i] = len(e)
+            def flush(n=n, held=held, left=left) -> None:
+                for i, e in zip(held, tokenizer.encode_batch_fast(left, add_special_tokens=False), strict=True):
+                    n[i] += len(e)
                 held.clear()
+                left.clear()
 
             for i, text in enumerate(texts):
                 if len(text) > chunk:
                     n[i] = count(tokenizer, text, chunk)
                 elif text:
+                    if remembered is not None:
+                        n[i], text = remembered.reduced(text)
                     held.append(i)
+                    left.append(text)
                     size += len(text)
                     if size > BATCH:
                         flush()
