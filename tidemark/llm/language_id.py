@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import small, stored
 
 SAMPLE, FEATURES, TEXT_WEIGHT, SMOOTHING = 500, 4096, 20.0, 5.0
+#: Rows a language, in multiples of the sample, among which the sample is sought.
+MARGIN = 4
 #: Keys over which rows without one are dealt.
 NONE_KEYS = 4096
 
@@ -37,8 +39,14 @@ def counted(text: str | None) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their smoothed log-probabilities of byte pairs."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # The least hashes lie below this share of all hashes, but for a chance of nearly none; so few rows meet in a language's task.
+    share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    few = labelled.join(small(sizes, sizes.count()), "lang").filter(share <= MARGIN * sample / F.col("n")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang").withColumn("k", F.row_number().over(place)).filter(F.col("k") <= sample).select("doc_id", "lang")
+    ids = stored(few.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= sample).select("doc_id", "lang"), "sample")
+    n_ids = ids.count()
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -47,7 +55,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
                 total[lang] = total.get(lang, 0) + counted(t)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["lang", "x"])
 
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("lang", "text").mapInArrow(counts, "lang string, x binary").collect()
+    # One text an id, however often the id stands in docs; texts outside the sample are not shuffled.
+    texts = docs.select("doc_id", "text").join(small(ids, n_ids), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = texts.select("lang", "text").mapInArrow(counts, "lang string, x binary").collect()
     langs = sorted({r.lang for r in rows})
     x = np.array([sum(np.frombuffer(r.x, dtype=np.int64) for r in rows if r.lang == k) for k in langs], dtype=float).reshape(len(langs), FEATURES) + 0.5
     return langs, np.log(x / x.sum(1, keepdims=True))
