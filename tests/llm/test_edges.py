@@ -113,5 +113,5 @@ def test_queries_are_all_there():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} and {*queries.QUERIES, "pipeline"} <= names.keys()
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 13)} and {*queries.QUERIES, "pipeline"} <= names.keys()
     assert set(entry.oracle_sql()) <= set(names)

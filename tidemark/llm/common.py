@@ -66,6 +66,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Removes the files of a stored table now: only after all that is read from it has itself been stored.
 
