@@ -114,8 +114,13 @@ def test_encoder_equals_library(name, cuts):
     assert encoder.cuts == cuts and token_files.width(spec, 1) == 16
     rng = random.Random(2)
     signs = ["a", "B", "'", "s", "t", " ", " ", "\n", "\t", " ", "́", "é", "1", "½", ".", "<|endoftext|>", "\x1c", "Σ", "　"]
-    for text in [*ODD, *["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3000)]]:
-        assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = [chr(c) for c in range(0xC0, 0x250)]
+    texts = [*ODD, *["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3000)], *["".join(rng.choices([*letters, "e", ".", ",", " "], k=12)) for _ in range(3000)], *letters]
+    for k in range(0, len(texts), 50):
+        some = texts[k : k + 50]
+        assert list(encoder.groups(some)) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    words = ["One", "word.", "Ünd", "zwei!?"]
+    assert encoder._together(words, [1, 2, 1, 2]) == encoder._together(words, [1, 1, 1, 1]) == encoder._each(words) or not cuts
 
 
 def test_token_files(spark, tmp_path):

@@ -6,8 +6,9 @@ the largest id of the vocabulary needs, the lowest bit first, eight ids to `bits
 unpacked by numpy. `shards`: one row per shard with its `base`, the ids of all shards before it, and `bits`. Shards are ranges of
 the documents in ascending order of their ids, so base + start + the lengths before it in its block is a document's place among all.
 
-Texts are cut at single blanks and line feeds where `cuts_at_blanks` finds that the vocabulary allows it (white space is dropped, nothing
-reaches over it); a worker remembers the ids of parts, up to `REMEMBERED` bytes. Other vocabularies encode whole texts.
+Texts are cut at blanks and line feeds where `cuts_at_blanks` finds that the vocabulary allows it (white space is dropped, nothing
+reaches over it); a worker remembers the ids of parts, about `REMEMBERED` bytes of those met last, from task to task. New parts of plain letters are encoded
+together and told apart by the tokens that end a word, all others one by one. Other vocabularies encode whole texts.
 
 Defined results: null text is empty and has the end id alone. Documents without an id come first. Repeated ids stay, in
 the order of their texts' hashes; equal rows are alike, so their order is of no account. Very long texts are rows like any other: a block ends
@@ -31,10 +32,12 @@ from pyspark.sql.window import Window
 from .common import release, stored
 
 #: Ids after which a block ends, bytes of packed ids a shard is meant to have, bytes of parts that a worker remembers.
-BLOCK, SHARD_BYTES, REMEMBERED = 16_384, 16_000_000, 64_000_000
-#: Characters up to which a part is remembered.
-SHORT = 64
-BLANK = re.compile("[\x20\n]+")
+BLOCK, SHARD_BYTES, REMEMBERED = 16_384, 16_000_000, 240_000_000
+#: Characters of texts that are encoded together, and parts of plain letters that are.
+GROUP, TOGETHER = 2_000_000, 10_000
+WHOLE = (8, 16, 32)
+#: Parts that are one word of the pre-tokenizer, or two with the signs at their end: letters whose lower case is one letter.
+PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+([.,;:!?]+)?")
 
 
 def width(spec: str, end_id: int) -> int:
@@ -45,6 +48,8 @@ def width(spec: str, end_id: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids (below 2^bits, bits up to 32) as ceil(n / 8) * bits bytes."""
+    if bits in WHOLE:  # the layout of little-endian numbers
+        return np.append(ids, np.zeros(-len(ids) % 8, int)).astype(f"<u{bits // 8}").tobytes()
     groups = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     groups.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(groups), bits), np.uint8)
@@ -58,6 +63,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(packed: bytes, bits: int, first: int, n: int) -> np.ndarray:
     """n ids from place `first` on, as uint32; only their bytes are read."""
+    if bits in WHOLE:
+        return np.frombuffer(packed, f"<u{bits // 8}", n, first * bits // 8).astype(np.uint32)
     low, high = first // 8, -(-(first + n) // 8)
     rows = np.frombuffer(packed, np.uint8, (high - low) * bits, low * bits).reshape(-1, bits).astype(np.uint64)
     out = np.zeros((len(rows), 8), np.uint64)
@@ -94,30 +101,82 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cuts, self.room = cuts_at_blanks(spec), room
+        self.cuts, self.room, self.size = cuts_at_blanks(spec), room, 0
+        #: Parts met since the older ones were set aside, and those.
         self.known: dict[str, bytes] = {}
-        self.size = 0
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
+        self.older: dict[str, bytes] = {}
+        told = json.loads(spec)
+        suffix, vocabulary = told["model"].get("end_of_word_suffix"), told["model"]["vocab"]
+        self.ends = np.zeros(1 + max([*vocabulary.values(), *[t["id"] for t in told["added_tokens"]]]), bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
+    def _together(self, parts: list[str], words: list[int]) -> list[bytes]:
+        """The parts as one text, cut after each one's words; one by one if the words' ends don't add up."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(words) - 1
+        if len(ends) != last[-1] + 1:
+            return self._each(parts)
+        cuts, raw = [0, *(4 * ends[last] + 4).tolist()], ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        old = parts & self.older.keys()
+        self.known.update((p, self.older.pop(p)) for p in old)
+        plain: list[str] = []
+        words: list[int] = []
+        other: list[str] = []
+        for p in parts - old:
+            if m := PLAIN.fullmatch(p):
+                plain.append(p)
+                words.append(1 + (m.lastindex is not None))
+            else:
+                other.append(p)
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            self.known.update(zip(some, self._together(some, words[k : k + TOGETHER]), strict=True))
+        for k in range(0, len(other), TOGETHER):
+            some = other[k : k + TOGETHER]
+            self.known.update(zip(some, self._each(some), strict=True))
+        # An entry takes about 250 bytes beside a long text.
+        self.size += 250 * len(parts) + sum(8 * len(p) for p in other if len(p) > 32)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self._plain([text])[0]
-        parts = BLANK.split(text)
-        ids = list(map(self.known.get, parts))
-        if None in ids:
-            new = list({p for p, i in zip(parts, ids, strict=True) if i is None})
-            found = dict(zip(new, self._plain(new), strict=True))
-            ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-            if self.size > self.room:
-                self.known.clear()
-                self.size = 0
-            for p, i in found.items():
-                if len(p) <= SHORT:
-                    self.known[p] = i
-                    self.size += 200 + 4 * len(p) + len(i)
-        return b"".join(ids)
+            return self._each(texts)
+        if self.size > self.room / 2:
+            self.older, self.known, self.size = self.known, {}, 0
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*parts).difference(self.known):
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+
+    def groups(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids, encoded in groups of about GROUP characters."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > GROUP:
+                yield from self.encode(held)
+                held, size = [], 0
+        yield from self.encode(held)
+
+
+def encoder_of(spec: str) -> Encoder:
+    """The worker's encoder of a vocabulary: it outlives a task, so the next one finds parts remembered. One vocabulary is kept at a time."""
+    import sys
+
+    kept = vars(sys).setdefault("_tidemark_encoder", {})
+    key = zlib.crc32(spec.encode()), len(spec)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(spec)
+    return kept[key]
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> None:
@@ -131,11 +190,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = encoder_of(spec.value)
         for batch in batches:
             n, packed = [], []
-            for value in batch.column(1):
-                ids = np.frombuffer(encoder.encode(value.as_py()) + end, "<u4")
+            for found in encoder.groups(batch.column(1).to_pylist()):
+                ids = np.frombuffer(found + end, "<u4")
                 n.append(len(ids))
                 packed.append(pack(ids, bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "fp", "salt", "n_tokens", "packed"])
