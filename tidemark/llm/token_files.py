@@ -25,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,10 +35,10 @@ from .common import release, stored
 #: Ids after which a block ends, bytes of packed ids a shard is meant to have, bytes of parts that a worker remembers.
 BLOCK, SHARD_BYTES, REMEMBERED = 16_384, 16_000_000, 240_000_000
 #: Characters of texts that are encoded together, and parts of plain letters that are.
-GROUP, TOGETHER = 2_000_000, 10_000
+GROUP, TOGETHER = 12_000_000, 10_000
 WHOLE = (8, 16, 32)
-#: Parts that are one word of the pre-tokenizer, or two with the signs at their end: letters whose lower case is one letter.
-PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+([.,;:!?]+)?")
+#: Parts that are one word of the pre-tokenizer, or two with the signs at their end: letters whose lower case is one letter each.
+PLAIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+([!-&(-/:;=?@\\[-`{}~]{1,8})?")
 
 
 def width(spec: str, end_id: int) -> int:
@@ -90,7 +91,7 @@ def cuts_at_blanks(spec: str) -> bool:
 
 
 class Encoder:
-    """Texts to ids as little-endian uint32."""
+    """Texts to ids as uint32; the ids of parts are remembered as bytes."""
 
     def __init__(self, spec: str, room: int = REMEMBERED) -> None:
         import os
@@ -114,47 +115,67 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, parts: list[str], words: list[int]) -> list[bytes]:
-        """The parts as one text, cut after each one's words; one by one if the words' ends don't add up."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(words) - 1
-        if len(ends) != last[-1] + 1:
-            return self._each(parts)
-        cuts, raw = [0, *(4 * ends[last] + 4).tolist()], ids.tobytes()
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words, encoded as one text and cut where a word ends; one by one if the ends don't add up."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(words):
+            return self._each(words)
+        cuts, raw = [0, *(4 * ends + 4).tolist()], ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, parts: set[str]) -> None:
-        old = parts & self.older.keys()
-        self.known.update((p, self.older.pop(p)) for p in old)
-        plain: list[str] = []
-        words: list[int] = []
+    def _take(self, texts: list[str], encode) -> None:
+        for k in range(0, len(texts), TOGETHER):
+            some = texts[k : k + TOGETHER]
+            self.known.update(zip(some, encode(some), strict=True))
+        # An entry takes about 250 bytes beside a long text.
+        self.size += 250 * len(texts) + sum(8 * len(t) for t in texts if len(t) > 32)
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that are not known. Those set aside come back; a word with signs, or with capitals, has the ids of the plain word and of its signs."""
+        known, older, match = self.known, self.older, PLAIN.fullmatch
+        plain: list[tuple[str, str, str]] = []
         other: list[str] = []
-        for p in parts - old:
-            if m := PLAIN.fullmatch(p):
-                plain.append(p)
-                words.append(1 + (m.lastindex is not None))
+        for p in parts:
+            if (ids := older.pop(p, None)) is not None:
+                known[p] = ids
+                self.size += 250
+            elif m := match(p):
+                sign = m[1]
+                plain.append((p, p[: -len(sign)].lower(), sign) if sign else (p, p.lower(), ""))
             else:
                 other.append(p)
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            self.known.update(zip(some, self._together(some, words[k : k + TOGETHER]), strict=True))
-        for k in range(0, len(other), TOGETHER):
-            some = other[k : k + TOGETHER]
-            self.known.update(zip(some, self._each(some), strict=True))
-        # An entry takes about 250 bytes beside a long text.
-        self.size += 250 * len(parts) + sum(8 * len(p) for p in other if len(p) > 32)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self._take(list({w for _, w, _ in plain if w not in known}), self._together if self.ends.any() else self._each)
+        self._take(list({s for _, _, s in plain}.difference(known)), self._each)
+        self._take(other, self._each)
+        for p, w, s in plain:
+            if p != w:
+                known[p] = known[w] + known[s] if s else known[w]
+        self.size += 250 * len(plain)
+        return [known[p] for p in parts]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids. Equal parts are found, and their ids put in their places, by whole columns."""
         if not self.cuts:
-            return self._each(texts)
+            return [np.frombuffer(x, "<u4") for x in self._each(texts)]
         if self.size > self.room / 2:
             self.older, self.known, self.size = self.known, {}, 0
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*parts).difference(self.known):
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-
-    def groups(self, texts: list[str]) -> Iterator[bytes]:
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        told = lists.flatten().dictionary_encode()
+        parts = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, parts))
+        if missed := [k for k, i in enumerate(ids) if i is None]:
+            for k, i in zip(missed, self._learn([parts[k] for k in missed]), strict=True):
+                ids[k] = i
+        of = told.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, each = np.cumsum(sizes) - sizes, sizes[of]
+        ends = np.cumsum(each)
+        place = np.repeat(starts[of] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        every, bounds = np.frombuffer(b"".join(ids), "<u4")[place], np.append(0, ends)[lists.offsets.to_numpy()]
+        return [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def groups(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each text's ids, encoded in groups of about GROUP characters."""
         held: list[str] = []
         size = 0
@@ -164,7 +185,8 @@ class Encoder:
             if size > GROUP:
                 yield from self.encode(held)
                 held, size = [], 0
-        yield from self.encode(held)
+        if held:
+            yield from self.encode(held)
 
 
 def encoder_of(spec: str) -> Encoder:
@@ -187,14 +209,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col
     text = Path(tokenizer_path).read_text(encoding="utf-8")
     bits = width(text, end_id)
     spec = docs.sparkSession.sparkContext.broadcast(text)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(spec.value)
         for batch in batches:
             n, packed = [], []
             for found in encoder.groups(batch.column(1).to_pylist()):
-                ids = np.frombuffer(found + end, "<u4")
+                ids = np.concatenate([found, end])
                 n.append(len(ids))
                 packed.append(pack(ids, bits))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "fp", "salt", "n_tokens", "packed"])
