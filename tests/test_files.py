@@ -11,11 +11,11 @@ def card(key, value):
     return f"{key:<8}= {value}".ljust(80)
 
 
-def fits(names, forms, rows, extname="LIGHTCURVE", head=()):
+def fits(names, forms, rows, extname="LIGHTCURVE", head=(), more=()):
     block = lambda cards: ("".join(cards) + "END".ljust(80)).ljust(-(-(len("".join(cards)) + 80) // 2880) * 2880).encode()
     out = block([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), *[card(k, f"'{v}'") for k, v in head]])
     cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", "8"), card("NAXIS", "2"), card("NAXIS1", str(rows.dtype.itemsize)), card("NAXIS2", str(len(rows))), card("PCOUNT", "0"), card("GCOUNT", "1"), card("TFIELDS", str(len(names))), card("EXTNAME", f"'{extname}'")]
-    cards += [card(f"TTYPE{k}", f"'{n}'") for k, n in enumerate(names, 1)] + [card(f"TFORM{k}", f"'{f}'") for k, f in enumerate(forms, 1)]
+    cards += [card(f"TTYPE{k}", f"'{n}'") for k, n in enumerate(names, 1)] + [card(f"TFORM{k}", f"'{f}'") for k, f in enumerate(forms, 1)] + [card(k, v) for k, v in more]
     data = rows.tobytes()
     return out + block(cards) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
 
@@ -47,6 +47,24 @@ def test_fits_table():
         files.parse_fits(fits(["A", "B", "C", "D"], ["D", "E", "2J", "E"], curve()))
 
 
+def test_fits_scaling_and_nulls():
+    rows = np.zeros(4, dtype=[("TIME", ">f8"), ("FLUX", ">i2"), ("ERROR", ">i4")])
+    rows["TIME"], rows["FLUX"], rows["ERROR"] = np.arange(4), [0, 1, -99, 3], [5, 6, 7, -1]
+    more = [("TSCAL2", "0.5"), ("TZERO2", "1000.0"), ("TNULL2", "-99"), ("TNULL3", "-1"), ("TSCAL1", "2.0")]
+    got, _ = files.parse_fits(fits(["TIME", "FLUX", "ERROR"], ["D", "I", "J"], rows, more=more))
+    assert got["time"].tolist() == [0, 2, 4, 6]
+    assert np.array_equal(got["flux"], [1000, 1000.5, np.nan, 1001.5], equal_nan=True) and np.array_equal(got["flux_err"], [5, 6, 7, np.nan], equal_nan=True)
+
+
+def test_names_that_clash(spark, tmp_path):
+    for name in ("a/x.csv", "b/x.csv", "b/y.csv", "c.d/z.v2.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("time,flux\n" + "".join(f"{k},{k}\n" for k in range(15)))
+    (tmp_path / "b/x.fits").write_bytes(fits(["TIME", "SAP_FLUX", "QUALITY", "SAP_FLUX_ERR"], ["D", "E", "2J", "E"], curve()))
+    got = {r.series_id: r["count"] for r in files.read_curves(spark, str(tmp_path)).groupBy("series_id").count().collect()}
+    assert got == {"a/x.csv": 15, "b/x.csv": 15, "b/x.fits": 12, "y": 15, "z.v2": 15}
+
+
 def test_folder_of_curves(spark, tmp_path):
     (tmp_path / "one.CSV").write_text("time,flux\n" + "".join(f"{20 - k},{k}\n" for k in range(20)) + "inf,1\n3,nan\n")
     (tmp_path / "two.fits").write_bytes(fits(["TIME", "SAP_FLUX", "QUALITY", "SAP_FLUX_ERR"], ["D", "E", "2J", "E"], curve(), "OTHER"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.shared import stored
+
 
 def confusion(df: DataFrame, *by: str) -> DataFrame:
     """tp, fp, fn, tn, precision, recall, f1 (0 where undefined) of truth and predicted (0/1)."""
@@ -16,12 +18,25 @@ def confusion(df: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("precision", ratio(tp, tp + F.col("fp"))).withColumn("recall", ratio(tp, tp + F.col("fn"))).withColumn("f1", ratio(2 * tp, 2 * tp + F.col("fp") + F.col("fn")))
 
 
+#: Ranges of scores that running counts are taken in.
+RANGES = 256
+
+
 def curve(df: DataFrame, by: str) -> DataFrame:
-    """Per distinct score, from the highest: pos and neg there, tp and fp so far. Counts first, so windows see few rows."""
+    """Per distinct score, from the highest: pos and neg there, tp and fp so far, all_pos and all_neg of the group.
+
+    Counts come first. Each group's scores are then dealt in ranges; the sums of the ranges above are a short list, so running counts are taken
+    within a range only, and no task has all scores of a group.
+    """
     at = df.groupBy(by, "score").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
-    down = Window.partitionBy(by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(by)
-    return at.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("all_pos", F.sum("pos").over(whole)).withColumn("all_neg", F.sum("neg").over(whole))
+    whole = at.groupBy(F.col(by).alias("__by")).agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000).alias("__cuts"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    ranged = at.join(whole, F.col(by).eqNullSafe(F.col("__by"))).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c >= F.col("score"))), F.lit(0))).drop("__by", "__cuts")
+    above = Window.partitionBy("__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__at")).agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
+    sums = sums.select("__by", "__at", F.coalesce(F.sum("__pos").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__neg").over(above), F.lit(0)).alias("__fp"))
+    met = ranged.join(sums, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__at"))).drop("__by", "__at")
+    down = Window.partitionBy(by, "__range").orderBy(F.desc("score"))
+    return met.withColumn("tp", F.col("__tp") + F.sum("pos").over(down)).withColumn("fp", F.col("__fp") + F.sum("neg").over(down)).select(by, "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg")
 
 
 def areas(df: DataFrame, by: str) -> DataFrame:
@@ -89,24 +104,75 @@ def over_folds(metrics: DataFrame, *names: str, by: tuple[str, ...] = ()) -> Dat
     return metrics.groupBy(*by).agg(*[f(known(c)).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
-def bootstrap(df: DataFrame, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> dict[str, dict[str, float]]:
-    """mean, lower, upper, std of precision, recall and f1 over resamples of all rows.
+OUTCOMES = ("tp", "fp", "fn", "tn")
+#: Distinct scores whose weights are drawn together.
+DRAWN = 512
+
 
-    A resample of n rows changes only how often each of the four outcomes stands in it, so the outcomes are counted over all
-    rows and resampled as a multinomial: the same distribution, and no row is drawn twice. Rounds with one class only are left out; under 11 rounds: NaN.
+def replicates(df: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """rep, precision, recall, f1, roc_auc, avg_precision of resamples of the rows (truth, predicted, and score if there is one, else the areas are null).
+
+    Every row's weight in a round is a Poisson number; equal rows' weights add up to one Poisson number of their count, so rows are counted
+    by score and outcome first. Scores are dealt in ranges: a first pass sums each range's weights of all rounds, a second, with the sums of the ranges
+    above, adds up the areas. Both draw the same numbers, DRAWN scores at a time. Rounds with one class only are left out.
     """
     import numpy as np
+    import pandas as pd
+
+    scored = "score" in df.columns
+    one = lambda t, p: F.count(F.when((F.col("truth") == t) & (F.col("predicted") == p), 1))
+    at = df.withColumn("score", F.col("score").cast("double") if scored else F.lit(0.0)).groupBy("score").agg(one(1, 1).alias("tp"), one(0, 1).alias("fp"), one(1, 0).alias("fn"), one(0, 0).alias("tn"))
+    cuts = at.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
+    ranged = at.withColumn("range", F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c >= F.col("score"))), F.lit(0))) if cuts else at.withColumn("range", F.lit(0))
+
+    def drawn(pdf):
+        """(rounds x scores, four) weights of a range's scores, from the highest, DRAWN at a time."""
+        counts = pdf.sort_values("score", ascending=False)[list(OUTCOMES)].to_numpy()
+        for k in range(0, len(counts), DRAWN):
+            yield np.random.default_rng([seed, int(pdf["range"].iloc[0]), k]).poisson(counts[None, k : k + DRAWN], (rounds, *counts[k : k + DRAWN].shape))
+
+    def totals(pdf):
+        w = sum(x.sum(1) for x in drawn(pdf))
+        return pd.DataFrame({"range": pdf["range"].iloc[0], "rep": np.arange(rounds)} | {c: w[:, k] for k, c in enumerate(OUTCOMES)})
+
+    def parts(given, above):
+        above = above.sort_values("rep")
+        tp, fp = above["tp_above"].to_numpy().astype(float), above["fp_above"].to_numpy().astype(float)
+        roc, step = np.zeros(rounds), np.zeros(rounds)
+        for w in drawn(given):
+            pos, neg = w[:, :, 0] + w[:, :, 2], w[:, :, 1] + w[:, :, 3]
+            up, down = tp[:, None] + pos.cumsum(1), fp[:, None] + neg.cumsum(1)
+            roc += (neg * (up - pos / 2)).sum(1)
+            step += (pos * up / np.maximum(up + down, 1)).sum(1)
+            tp, fp = up[:, -1], down[:, -1]
+        return pd.DataFrame({"rep": np.arange(rounds), "roc": roc, "step": step})
+
+    sums = stored(ranged.groupBy("range").applyInPandas(totals, "range int, rep int, tp long, fp long, fn long, tn long"), "replicates")
+    before = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    above = sums.select("range", "rep", *[F.coalesce(F.sum(F.col(a) + F.col(b)).over(before), F.lit(0)).alias(f"{c}_above") for a, b, c in (("tp", "fn", "tp"), ("fp", "tn", "fp"))])
+    summed = ranged.groupBy("range").cogroup(above.groupBy("range")).applyInPandas(parts, "rep int, roc double, step double").groupBy("rep").agg(F.sum("roc").alias("roc"), F.sum("step").alias("step"))
+    every = sums.groupBy("rep").agg(*[F.sum(c).alias(c) for c in OUTCOMES]).join(summed, "rep").filter("tp + fn > 0 and fp + tn > 0")
+    tp, fp, fn, tn = map(F.col, OUTCOMES)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    area = lambda x: x if scored else F.lit(None).cast("double")
+    return every.select("rep", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), area(F.col("roc") / ((tp + fn) * (fp + tn))).alias("roc_auc"), area(F.col("step") / (tp + fn)).alias("avg_precision"))
 
-    c = confusion(df).first()
-    counts = np.array([c.tp, c.fp, c.fn, c.tn], dtype=np.int64)
-    tp, fp, fn, tn = np.random.default_rng(seed).multinomial(counts.sum(), counts / counts.sum(), rounds).T if counts.sum() else np.zeros((4, 0))
-    both = (tp + fn > 0) & (fp + tn > 0)
-    ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)[both]
-    tail = 50 * (1 - confidence)
-    out = {}
-    for name, v in (("precision", ratio(tp, tp + fp)), ("recall", ratio(tp, tp + fn)), ("f1", ratio(2 * tp, 2 * tp + fp + fn))):
-        out[name] = {"mean": float(v.mean()), "lower": float(np.percentile(v, tail)), "upper": float(np.percentile(v, 100 - tail)), "std": float(v.std())} if len(v) > 10 else dict.fromkeys(("mean", "lower", "upper", "std"), float("nan"))
-    return out
+
+def bootstrap_table(df: DataFrame, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """metric, mean, lower, upper, std over the replicates; NaN with under 11 of them. Without scores only precision, recall and f1."""
+    names = ["precision", "recall", "f1", *(["roc_auc", "avg_precision"] if "score" in df.columns else [])]
+    long = replicates(df, rounds, seed).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in names])).alias("x")).select("x.*")
+    tail = (1 - confidence) / 2
+    enough = lambda c: F.when(F.count("v") > 10, c).otherwise(F.lit(float("nan")))
+    # As many values a metric as there are rounds.
+    told = long.groupBy("metric").agg(*[enough(c).alias(n) for n, c in (("mean", F.avg("v")), ("lower", F.percentile("v", F.lit(tail))), ("upper", F.percentile("v", F.lit(1 - tail))), ("std", F.stddev_pop("v")))])
+    every = df.sparkSession.createDataFrame([(n,) for n in names], "metric string").join(told, "metric", "left")
+    return every.select("metric", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("mean", "lower", "upper", "std")])
+
+
+def bootstrap(df: DataFrame, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> dict[str, dict[str, float]]:
+    """bootstrap_table() as a dictionary."""
+    return {r.metric: {c: r[c] for c in ("mean", "lower", "upper", "std")} for r in bootstrap_table(df, rounds, confidence, seed).collect()}
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:

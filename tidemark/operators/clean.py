@@ -45,6 +45,46 @@ def index_points(df: DataFrame) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(series().orderBy("ord")) - 1).withColumn("n", F.count("*").over(series()))
 
 
+#: Points of a series up to which it is one task's work in cut_points(), and points that a part of a longer one has.
+CUT = 1_000_000
+
+
+def cut_points(df: DataFrame, most: int = CUT, time_col: str = "time") -> DataFrame:
+    """index_points() for series of any length: idx, n, and part, the number of each stretch of `most` points.
+
+    A series of more than `most` points is dealt by quantiles of time (the first of `ord`), numbered in these ranges, and the counts before
+    a range give its first place; so neither numbering nor what follows by part is ever one task. Operators that find a part column work part by part,
+    with as many points of the neighbouring parts as they need.
+    """
+    counts = df.groupBy("series_id").agg(F.count("*").alias("n"))
+    long = counts.filter(F.col("n") > most).select("series_id")
+    cuts = df.join(long, "series_id", "left_semi").groupBy("series_id").agg(F.percentile_approx(time_col, [k / 1024 for k in range(1, 1024)], 10_000).alias("__cuts"))
+    ranged = df.join(counts, "series_id").join(cuts, "series_id", "left").withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda t: t < F.col(time_col))), F.lit(0))).drop("__cuts")
+    earlier = Window.partitionBy("series_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.filter(F.col("n") > most).groupBy("series_id", "__range").agg(F.count("*").alias("__c")).select("series_id", "__range", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("series_id", "__range").orderBy("ord")) - 1
+    # The ranges are keys of their own: a partitioning by series alone must not serve the window.
+    numbered = ranged.join(before, ["series_id", "__range"], "left").repartition("series_id", "__range").withColumn("idx", (place + F.coalesce("__before", F.lit(0))).cast("long"))
+    return numbered.drop("__range", "__before").withColumn("part", F.floor(F.col("idx") / most)).withColumn("__most", F.lit(most))
+
+
+def by_part(points: DataFrame, reach: int) -> tuple[DataFrame, WindowSpec]:
+    """Points for functions that look at most `reach` points to either side, and the window to do so in.
+
+    Of points with a part, those within reach of another part are in that one too, with __own false: own_only() takes them out again.
+    """
+    if "part" not in points.columns:
+        return points, series()
+    inside, most = F.col("idx") - F.col("part") * F.col("__most"), F.col("__most")
+    parts = F.array_compact(F.array(F.col("part"), F.when((inside < reach) & (F.col("part") > 0), F.col("part") - 1), F.when((inside >= most - reach) & (F.col("idx") + reach >= (F.col("part") + 1) * most), F.col("part") + 1)))
+    met = points.withColumn("__in", F.explode(parts)).withColumn("__own", F.col("__in") == F.col("part"))
+    return met.repartition("series_id", "__in"), Window.partitionBy("series_id", "__in")
+
+
+def own_only(points: DataFrame) -> DataFrame:
+    return points.filter("__own").drop("__own", "__in") if "__own" in points.columns else points
+
+
 def summary(df: DataFrame) -> DataFrame:
     return df.groupBy("series_id").agg(
         F.count("*").alias("n_points"), (F.max("time") - F.min("time")).alias("time_span"), F.min("time").alias("start_time"), F.max("time").alias("end_time"),

@@ -1,5 +1,8 @@
-"""Anomaly models. Each is fitted on a bounded sample of rows (SAMPLE, by hash of the id) on the driver and scores every row in
-batches on the executors. Scores: lower is odder; a row is an anomaly under the model's offset.
+"""Anomaly models. Scores: lower is odder; a row is an anomaly under the model's offset.
+
+fit() and score() take small matrices. fitted() and scored() take tables: the local outlier factor and the distance to density clusters then
+learn from every row, by neighbour joins (density.py), an isolation forest's trees draw from every row (forest.py), and so do ensembles of these; the
+one-class machine and the autoencoders are still fitted on a bounded sample (SAMPLE, by hash of the id) on the driver. Every row is scored on the executors.
 """
 
 from __future__ import annotations
@@ -7,6 +10,8 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from pathlib import Path
 
 import numpy as np
@@ -14,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import density, forest
+
 #: Rows that a model is fitted on at most.
 SAMPLE = 4096
 
@@ -42,6 +49,9 @@ class Model:
     def state(self) -> dict:
         return dict(vars(self))
 
+    def over_rows(self):
+        """The same model as it learns from a whole table, if there is one."""
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances; what is rounding beside the rows' own lengths is 0."""
@@ -58,6 +68,9 @@ class LocalOutlierFactor(Model):
     def __init__(self, contamination: float = 0.1, neighbours: int = 20):
         self.contamination, self.neighbours = contamination, neighbours
 
+    def over_rows(self):
+        return density.NeighbourFactor(self.contamination, self.neighbours)
+
     def fit(self, x):
         self.rows = self.scale(x, learn=True)
         self.k = max(1, min(self.neighbours, len(x) - 1))
@@ -89,6 +102,9 @@ class DensityClusters(Model):
     def __init__(self, contamination: float = 0.1, eps: float = 0.5, least: int = 5):
         self.contamination, self.eps, self.least = contamination, eps, least
 
+    def over_rows(self):
+        return density.ClusterDistance(self.contamination, self.eps, self.least)
+
     def fit(self, x):
         z = self.scale(x, learn=True)
         near = _distances(z, z) <= self.eps
@@ -119,6 +135,9 @@ class IsolationForest(Model):
     def __init__(self, contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42):
         self.contamination, self.trees, self.sample, self.seed = contamination, trees, sample, seed
 
+    def over_rows(self):
+        return forest.Forest(self.contamination, self.trees, self.sample, self.seed)
+
     def fit(self, x):
         rng = np.random.default_rng(self.seed)
         z = self.scale(x, learn=True)
@@ -375,7 +394,9 @@ def create(name: str, **options) -> Model:
 
 
 def dumps(model: Model) -> bytes:
-    """A model as bytes: numbers as text, arrays as they are; no code."""
+    """A model as bytes: numbers as text, arrays as they are; no code. What was learnt from a whole table is saved by model.table.save(folder)."""
+    if hasattr(model, "table"):
+        raise ValueError("a model of a table is saved by its table")
     arrays: dict[str, np.ndarray] = {}
 
     def plain(v, path):
@@ -433,12 +454,40 @@ def sample(df: DataFrame, vector_col: str = "features", id_col: str = "id", rows
 
 
 def fitted(model: Model, df: DataFrame, vector_col: str = "features", id_col: str = "id", rows: int = SAMPLE) -> Model:
-    return model.fit(sample(df, vector_col, id_col, rows))
+    """The model, learnt from df: from every row where it can (`table`), an ensemble by its parts, else from a sample."""
+    if isinstance(model, (BothAgree, WeightedVote)):
+        model.parts = [fitted(m, df, vector_col, id_col, rows) for m in model.parts]
+    elif (table := model.over_rows()) is not None:
+        model.table = table.fit(df, vector_col, id_col)
+    else:
+        model.fit(sample(df, vector_col, id_col, rows))
+    return model
+
+
+def fit_scored(df: DataFrame, model: Model, vector_col: str = "features", id_col: str = "id") -> DataFrame:
+    """scored() of the rows that the model is fitted on here, in one go where the model can."""
+    if isinstance(table := model.over_rows(), density.NeighbourFactor):
+        model.table = table
+        return table.fit_score(df, vector_col, id_col)
+    return scored(df, fitted(model, df, vector_col, id_col), vector_col)
 
 
 def scored(df: DataFrame, model: Model, vector_col: str = "features") -> DataFrame:
-    """df with score and is_anomaly; rows without a vector have neither. The model, bounded by its sample, is broadcast. Thresholds are the
-    model's own, from its sample, so that no row's answer depends on its batch."""
+    """df with score and is_anomaly; rows without a vector have neither. A model of a sample is broadcast. Thresholds are the models' own
+    (the cluster distance's: of all rows that are scored), also within an ensemble, so that no row's answer depends on its batch."""
+    if hasattr(model, "table"):
+        return model.table.score(df, vector_col)
+    if isinstance(model, (BothAgree, WeightedVote)):
+        columns, out = df.columns, df
+        for k, part in enumerate(model.parts):
+            out = scored(out, part, vector_col).withColumnsRenamed({"score": f"__score{k}", "is_anomaly": f"__odd{k}"})
+        odd = [F.col(f"__odd{k}") for k in range(len(model.parts))]
+        if isinstance(model, BothAgree):
+            score, flag = sum((F.col(f"__score{k}") for k in range(len(odd))), F.lit(0.0)) / len(odd), reduce(and_, odd)
+        else:
+            score = 0.0 - sum((w * o.cast("double") for w, o in zip(model.weights, odd, strict=True)), F.lit(0.0))
+            flag = -score > sum(model.weights) / 2
+        return out.select(*columns, score.alias("score"), flag.alias("is_anomaly"))
     sent = df.sparkSession.sparkContext.broadcast(dumps(model))
     columns = df.columns
     at = columns.index(vector_col)

@@ -16,6 +16,7 @@ from tidemark.operators import periods as P
 from tidemark.operators import windows as W
 from tidemark.operators.clean import clean, index_points, summary
 from tidemark.operators.smooth import preprocess
+from tidemark.sources.shared import stored
 
 METRICS = ("precision", "recall", "f1", "roc_auc", "avg_precision")
 
@@ -35,21 +36,20 @@ def train(points: DataFrame, name: str = "isolation_forest", ws: int = 50, norma
 
 def metrics(scored: DataFrame, *by: str) -> DataFrame:
     """rates() and areas() of scored rows with a truth, by the columns given."""
-    told = scored.select(*by, F.lit("all").alias("__all"), "truth", F.col("is_anomaly").cast("int").alias("predicted"), (-F.col("score")).alias("score"))
-    key = "__key"
-    told = told.withColumn(key, F.struct("__all", *by))
-    return E.rates(told, key).join(E.areas(told, key), key).select(*[F.col(f"{key}.{c}").alias(c) for c in by], *[c for c in E.rates(told, key).columns if c != key], "roc_auc", "avg_precision")
+    told = scored.select(F.struct(F.lit("all").alias("__all"), *by).alias("__key"), "truth", F.col("is_anomaly").cast("int").alias("predicted"), (-F.col("score")).alias("score"))
+    rates = E.rates(told, "__key")
+    return rates.join(E.areas(told, "__key"), "__key").select(*[F.col(f"__key.{c}").alias(c) for c in by], *[c for c in rates.columns if c != "__key"], "roc_auc", "avg_precision")
 
 
 def cross_validate(rows: DataFrame, factory: Callable[[], M.Model], k: int = 5, strategy: str = "stratified") -> DataFrame:
-    """fold and its metrics: each fold's rows are scored by a model of the others'."""
-    dealt = E.folds(rows.drop("fold"), k, "id", strategy)
+    """fold and its metrics: each fold's rows are scored by a model of the others'. The dealt rows and the scored ones are stored once."""
+    dealt = stored(E.folds(rows.drop("fold"), k, "id", strategy).select("id", "fold", "features", "truth"), "folds")
     every = None
     for fold in range(k):
         model = M.fitted(factory(), dealt.filter(F.col("fold") != fold))
-        part = M.scored(dealt.filter(F.col("fold") == fold).select("id", "fold", "features", "truth"), model).drop("features")
+        part = M.scored(dealt.filter(F.col("fold") == fold), model).drop("features")
         every = part if every is None else every.union(part)
-    return metrics(every, "fold")
+    return metrics(stored(every, "scored"), "fold")
 
 
 def compare(rows: DataFrame, factories: dict[str, Callable[[], M.Model]], k: int = 5) -> DataFrame:
@@ -74,7 +74,7 @@ def ablation(points: DataFrame, factory: Callable[[], M.Model], ws: int = 50, k:
     return out
 
 
-def sensitivity(points: DataFrame, factory: Callable[[float], M.Model], contaminations: tuple[float, ...] = (0.01, 0.05, 0.1, 0.15, 0.2, 0.3), sizes: tuple[int, ...] = (20, 30, 40, 50, 75, 100, 150), k: int = 5) -> DataFrame:
+def sensitivity(points: DataFrame, factory: Callable[[float], M.Model], contaminations: tuple[float, ...] = (0.01, 0.05, 0.1, 0.15, 0.2, 0.3), sizes: tuple[int, ...] = (10, 20, 30, 50, 75, 100, 150), k: int = 5) -> DataFrame:
     """parameter, value and metrics' means, for shares of anomalies at 50 points and for window sizes at a tenth."""
     out = None
     for parameter, value in [("contamination", c) for c in contaminations] + [("window_size", s) for s in sizes]:
@@ -85,17 +85,17 @@ def sensitivity(points: DataFrame, factory: Callable[[float], M.Model], contamin
 
 
 def grid_search(rows: DataFrame, name: str, grid: dict[str, list], k: int = 5, metric: str = "f1") -> list[dict]:
-    """Every combination with its mean and std, the best first; a combination that fails is left out, as is one without the metric."""
-    found = []
+    """Every combination with its mean and std, the best first. One that fails stays, with NaN and its error; so does one without the metric, after the others."""
+    found, none = [], float("nan")
     for values in product(*grid.values()):
         options = dict(zip(grid, values, strict=True))
         try:
             got = aggregated(cross_validate(rows, lambda o=options: M.create(name, **o), k)).first()
-        except (ValueError, TypeError):
-            continue
-        if got[f"{metric}_mean"] is not None:
-            found.append(options | {"mean": got[f"{metric}_mean"], "std": got[f"{metric}_std"]})
-    return sorted(found, key=lambda r: -r["mean"])
+            mean, std = got[f"{metric}_mean"], got[f"{metric}_std"]
+            found.append(options | {"mean": none if mean is None else mean, "std": none if std is None else std, "error": None})
+        except Exception as e:  # noqa: BLE001  (one bad combination must not end the search; it is told)
+            found.append(options | {"mean": none, "std": none, "error": str(e)})
+    return sorted(found, key=lambda r: -r["mean"] if r["mean"] == r["mean"] else float("inf"))
 
 
 def significance(folds: DataFrame, metric: str = "f1") -> list[dict]:
@@ -111,8 +111,9 @@ def significance(folds: DataFrame, metric: str = "f1") -> list[dict]:
 
 
 def importance(rows: DataFrame, names: list[str], **options) -> list[tuple[str, float]]:
-    """Features by their share of an isolation forest's splits."""
-    return sorted(zip(names, (float(x) for x in M.fitted(M.IsolationForest(**options), rows).importances()), strict=True), key=lambda x: -x[1])
+    """Features by their share of the rows that an isolation forest's splits part."""
+    share = {r.feature: r.share for r in M.fitted(M.IsolationForest(**options), rows).table.importances().collect()}
+    return sorted(((n, float(share.get(k, 0.0))) for k, n in enumerate(names)), key=lambda x: -x[1])
 
 
 def predictions(points: DataFrame, rows: DataFrame, fitted: dict[str, M.Model], ws: int = 50, method: str = "vote") -> DataFrame:
@@ -127,10 +128,44 @@ def predictions(points: DataFrame, rows: DataFrame, fitted: dict[str, M.Model],
     return out
 
 
-def examples(points: DataFrame, metadata: DataFrame, n: int = 3) -> DataFrame:
-    """Points of the first n transit and first n normal targets, by id."""
+def judged(points: DataFrame, predicted: DataFrame, flag: str = "is_vote") -> DataFrame:
+    """Predictions (series_id, idx, flag, and point_score if there is one) beside the points' truth (label): truth, predicted, score (greater: odder) and outcome TP, FP, FN or TN."""
+    truth = (points if "idx" in points.columns else index_points(points)).select("series_id", "idx", (F.col("label") > 0).cast("int").alias("truth"))
+    score = [(0.0 - F.col("point_score")).alias("score")] if "point_score" in predicted.columns else []
+    met = truth.join(predicted.select("series_id", "idx", F.col(flag).cast("int").alias("predicted"), *score), ["series_id", "idx"])
+    right = F.col("truth") == F.col("predicted")
+    return met.withColumn("outcome", F.concat(F.when(right, "T").otherwise("F"), F.when(F.col("predicted") == 1, "P").otherwise("N")))
+
+
+def evaluate_labelled(points: DataFrame, flags: DataFrame, ws: int = 50, method: str = "vote", *by: str) -> DataFrame:
+    """Labelled points and their windows' flags and scores to metrics of the points: the windows' say on every point meets its truth.
+
+    by: "series_id" for one row a series."""
+    if "label" not in points.columns:
+        raise ValueError("an evaluation needs a label column")
+    if method not in ("vote", "any", "score"):
+        raise ValueError(f"no method {method}")
+    indexed = points if "idx" in points.columns else index_points(points)
+    told = judged(indexed, W.to_points(indexed, flags, ws), f"is_{method}")
+    return metrics(told.select("series_id", "truth", (F.col("predicted") == 1).alias("is_anomaly"), (0.0 - F.col("score")).alias("score")), *by)
+
+
+def evaluate_model(points: DataFrame, model: M.Model, ws: int = 50, method: str = "vote", *by: str) -> DataFrame:
+    """evaluate_labelled() of a model that is fitted on the points' own windows."""
+    cleaned = index_points(clean(points).drop("idx", "n"))
+    rows = stored(rows_of(preprocess(cleaned), ws), "windows")
+    flags = M.fit_scored(rows, model).select("series_id", "window_id", F.col("is_anomaly").cast("int").alias("flag"), "score")
+    return evaluate_labelled(cleaned, stored(flags, "flags"), ws, method, *by)
+
+
+def examples(points: DataFrame, metadata: DataFrame, n: int = 3, predicted: DataFrame | None = None, flag: str = "is_vote") -> DataFrame:
+    """Points of the first n transit and first n normal targets, by id; with predictions also truth, predicted and outcome of each point."""
     first = metadata.filter("label_type = 'transit'").orderBy("target_id").limit(n).union(metadata.filter("label_type = 'normal'").orderBy("target_id").limit(n))
-    return points.join(F.broadcast(first.select(F.col("target_id").alias("series_id"), "label_type")), "series_id")
+    chosen = points.join(F.broadcast(first.select(F.col("target_id").alias("series_id"), "label_type")), "series_id")
+    if predicted is None:
+        return chosen
+    chosen = chosen if "idx" in chosen.columns else index_points(chosen)
+    return chosen.join(judged(chosen, predicted, flag), ["series_id", "idx"])
 
 
 def analysis(points: DataFrame, model: M.Model | None = None, ws: int = 50, n_frequencies: int = 1000) -> dict[str, DataFrame]:

@@ -10,18 +10,14 @@ from tidemark.operators import clean as C
 from tidemark.operators import features as X
 from tidemark.operators import models as M
 from tidemark.operators import windows as W
+from tidemark.operators.stitch import first_segments, stitch
 from tidemark.plans import experiments as T
-from tidemark.plans.queries import _CAT, _LC, _US, _WIN, _by_type, _round
+from tidemark.plans.queries import _CAT, _LC, _US, _WIN, KEY, _by_type, _keyed, _round
 from tidemark.sources import bindings as B
-from tidemark.sources import synthetic as Y
-
-
-def _eight(s, d):
-    return B.vectors(s, d).withColumn("features", F.slice("features", 1, 8))
 
 
 def _model(rows, model):
-    return M.scored(rows, M.fitted(model, rows)).select("id", "score", "is_anomaly")
+    return M.fit_scored(rows, model).select("id", "score", "is_anomaly")
 
 
 def lof_embeddings(s, d):
@@ -29,7 +25,8 @@ def lof_embeddings(s, d):
 
 
 def dbscan_distance(s, d):
-    return _round(_model(_eight(s, d), M.DensityClusters(eps=1.5)))
+    """All 64 components: in so many, rows lie far apart, so eps is large."""
+    return _round(_model(B.vectors(s, d), M.DensityClusters(eps=9.25)))
 
 
 def dbscan_no_cluster(s, d):
@@ -117,8 +114,8 @@ def cross_validation(s, d):
 
 
 def bootstrap(s, d):
-    rows = E.bootstrap(_by_type(s, d))
-    return s.createDataFrame([(k, *(v[n] for n in ("mean", "lower", "upper", "std"))) for k, v in rows.items()], "metric string, mean double, lower double, upper double, std double")
+    """Five metrics' means, bounds and deviations over a thousand resamples of the users' events."""
+    return E.bootstrap_table(_by_type(s, d))
 
 
 def _of_windows(s, d):
@@ -176,18 +173,45 @@ def folded_curve(s, d):
     return _round(T.folded(points, B.catalog(s, d), 20), 3)
 
 
-def synthetic_curves(s, d):
-    return _round(Y.curves(s))
-
-
 def analysis_windows(s, d):
-    """All windows of planted curves, scored by an isolation forest that was fitted on them."""
-    points = Y.curves(s)
-    rows = T.rows_of(points)
+    """All windows of the suppliers' curves, scored by an isolation forest."""
+    rows = T.rows_of(B.lc_supplier(s, d))
     return M.scored(rows, M.fitted(M.IsolationForest(), rows)).select("series_id", "window_id", "score", "is_anomaly")
 
 
-QUERIES = {f.__name__: f for f in (lof_embeddings, dbscan_distance, dbscan_no_cluster, isolation_forest, one_class_svm, if_and_lof, autoencoder, and_ensemble, weighted_vote, model_agreement, detection_rates, evaluation_summary, rates_by_type, roc_points, pr_points, score_classes, temporal_folds, stratified_folds, fold_aggregate, cross_validation, bootstrap, feature_statistics, effect_sizes, feature_correlations, flux_histogram, dataset_metadata, dataset_summary, brightest_of_host, faint_non_hosts, folded_curve, synthetic_curves, analysis_windows)}
+def _quarters(s, d):
+    return B.lc_supplier(s, d).withColumn("segment", F.floor(F.col("time") / 90))
+
+
+def first_quarters(s, d):
+    return _keyed(first_segments(_quarters(s, d), 5), "segment")
+
+
+def stitch_segments(s, d):
+    """The suppliers' curves out of their quarters; the keys are in what was the order before."""
+    level = stitch(_quarters(s, d))
+    return _round(level.select("series_id", *[F.col(f"ord.ord.{k}").alias(k) for k in KEY[1:]], "segment", "flux"))
+
+
+def _window_flags(s, d):
+    """Windows whose mean is far from the series' are odd: flag, and score (lower: odder) in thousandths."""
+    means = W.members(C.normalize(B.lc_supplier(s, d))).groupBy("series_id", "window_id").agg(F.round(1000 * F.avg("flux")).alias("mean"))
+    return means.select("series_id", "window_id", (F.abs("mean") > 200).cast("int").alias("flag"), (0.0 - F.abs("mean")).alias("score"))
+
+
+def labelled_evaluation(s, d):
+    """Labelled curves to metrics of their points, by series."""
+    return _round(T.evaluate_labelled(B.lc_supplier(s, d), _window_flags(s, d), 50, "vote", "series_id"))
+
+
+def detection_examples(s, d):
+    """Points of the first three targets with and without a transit: what the windows say beside the truth."""
+    points = C.index_points(B.lc_supplier(s, d))
+    got = T.examples(points, _metadata(s, d), 3, W.to_points(points, _window_flags(s, d)))
+    return got.select("series_id", "idx", "label_type", "truth", "predicted", "outcome")
+
+
+QUERIES = {f.__name__: f for f in (lof_embeddings, dbscan_distance, dbscan_no_cluster, isolation_forest, one_class_svm, if_and_lof, autoencoder, and_ensemble, weighted_vote, model_agreement, detection_rates, evaluation_summary, rates_by_type, roc_points, pr_points, score_classes, temporal_folds, stratified_folds, fold_aggregate, cross_validation, bootstrap, feature_statistics, effect_sizes, feature_correlations, flux_histogram, dataset_metadata, dataset_summary, brightest_of_host, faint_non_hosts, folded_curve, analysis_windows, first_quarters, stitch_segments, labelled_evaluation, detection_examples)}
 
 
 def _pairs(n: int, tag: str) -> str:
@@ -195,7 +219,7 @@ def _pairs(n: int, tag: str) -> str:
 
 
 _LOF = _pairs(64, "l") + ", n1 as (select * from (select *, row_number() over (partition by a order by d, b) as k from pl where a <> b) where k <= 20), r as (select a, max(d) as reach from n1 group by 1), den as (select n1.a, 1 / (avg(greatest(d, reach)) + 1e-10) as den from n1 join r on r.a = n1.b group by 1), fac as (select n1.a, max(o.den) as own, avg(q.den) / max(o.den) as fac from n1 join den q on q.a = n1.b join den o on o.a = n1.a group by 1), n2 as (select * from (select *, row_number() over (partition by a order by d, b) as k from pl) where k <= 20), lof as (select n2.a as id, -avg(q.den) * (avg(greatest(d, reach)) + 1e-10) as score from n2 join r on r.a = n2.b join den q on q.a = n2.b group by 1), lofa as (select id, score, score < (select quantile_cont(-fac, 0.1) from fac) as is_anomaly from lof)"
-_DB = _pairs(8, "b") + ", core as (select a from pb where d <= 1.5 group by a having count(*) >= 5), mem as (select distinct pb.a from pb join core on core.a = pb.b where d <= 1.5), dbs as (select pb.a as id, -min(d) as score from pb join mem on mem.a = pb.b group by 1), dba as (select id, score, score < (select quantile_cont(score, 0.1) from dbs) as is_anomaly from dbs)"
+_DB = _pairs(64, "b") + ", core as (select a from pb where d <= 9.25 group by a having count(*) >= 5), mem as (select distinct pb.a from pb join core on core.a = pb.b where d <= 9.25), dbs as (select pb.a as id, -min(d) as score from pb join mem on mem.a = pb.b group by 1), dba as (select id, score, score < (select quantile_cont(score, 0.1) from dbs) as is_anomaly from dbs)"
 _FL = f"{_LOF}, {_DB}, flags as (select v.vec_id as id, lofa.is_anomaly::int as lof, dba.is_anomaly::int as dbscan, (abs(v.embedding[1]::double) > 1)::int as far from embeddings v join lofa on lofa.id = v.vec_id join dba on dba.id = v.vec_id)"
 _BTS = f"{_US}, bt as (select type, (series_id % 2 = 0)::int as truth, (flux > 20)::int as predicted, round(flux, 1) as score from us)"
 _CV = f"{_BTS}, a as (select type, score, sum(truth) as pos, sum(1 - truth) as neg from bt group by 1, 2), c as (select *, sum(pos) over (partition by type order by score desc) as tp, sum(neg) over (partition by type order by score desc) as fp, sum(pos) over (partition by type) as p, sum(neg) over (partition by type) as q from a)"
@@ -203,6 +227,9 @@ _ST = f"{_LC.replace('lc as (', 'lc0 as (', 1)}, lc as (select * replace ((flux
 _LONG = ", lo as (unpivot (select label, mean, std, ptp, rms from st) on mean, std, ptp, rms into name feature value v)"
 _MD = f"{_LC}, {_CAT}, md as (select cat.*, m.n_points, m.n_anomalies, m.anomaly_fraction, case when period is not null then 'transit' else 'normal' end as label_type, target_id || '.csv' as filename from cat join (select series_id, count(*) as n_points, sum(label)::bigint as n_anomalies, avg(label) as anomaly_fraction from lc group by 1) m on m.series_id = target_id)"
 
+# Windows of normalised curves with their flags and scores, and what they say on every point.
+_PV = f"{_ST.split(', st as (')[0]}, wf as (select series_id, window_id, (abs(m) > 200)::int as flag, -abs(m) as score from (select series_id, window_id, round(1000 * avg(flux)) as m from win group by 1, 2)), v as (select win.series_id, win.idx, avg(flag) > 0.5 as vote, avg(score) as point_score from win join wf using (series_id, window_id) group by 1, 2), pv as (select lc.series_id, lc.idx::int as idx, lc.label as truth, coalesce(vote, false)::int as said, coalesce(point_score, 0) as score from lc left join v using (series_id, idx))"
+
 ORACLES = {
     "lof_embeddings": f"with {_LOF} select id, round(score, 4) as score, is_anomaly from lofa",
     "dbscan_distance": f"with {_DB} select id, round(score, 4) as score, is_anomaly from dba",
@@ -228,4 +255,8 @@ ORACLES = {
     "brightest_of_host": f"with {_CAT} select * from (select * from cat where period is not null and magnitude is not null qualify row_number() over (partition by hostname order by magnitude, target_id) = 1) order by magnitude, target_id limit 20",
     "faint_non_hosts": f"with {_CAT} select target_id, magnitude from cat where magnitude between 0 and 8000 and period is null order by target_id limit 10",
     "folded_curve": f"with {_LC}, {_CAT}, p as (select series_id, round(flux) as flux, (((time - epoch) % period) + period) % period / period as ph from lc join cat on series_id = target_id where period is not null), c as (select *, case when ph > 0.5 then ph - 1 else ph end as phase from p) select series_id, least(floor((phase + 0.5) * 20), 19)::int as bin, round(avg(flux), 3) as mean_flux, count(*) as n from c group by 1, 2",
+    "first_quarters": f"with {_LC}, q as (select *, floor(time / 90)::bigint as segment from lc), r as (select *, dense_rank() over (partition by series_id order by segment) as k from q) select series_id, l_orderkey, l_linenumber, l_partkey, segment from r where k <= 5",
+    "stitch_segments": f"with {_LC}, q as (select *, floor(time / 90)::bigint as segment from lc), a as (select * replace (flux / median(flux) over (partition by series_id, segment) as flux) from q) select series_id, l_orderkey, l_linenumber, l_partkey, segment, round(flux / median(flux) over (partition by series_id), 4) as flux from a",
+    "labelled_evaluation": f"with {_PV}, g as (select series_id, -score as score, sum(truth) as pos, sum(1 - truth) as neg from pv group by 1, 2), c as (select *, sum(pos) over (partition by series_id order by score desc) as tp, sum(neg) over (partition by series_id order by score desc) as fp, sum(pos) over (partition by series_id) as p, sum(neg) over (partition by series_id) as q from g), ar as (select series_id, round(sum(neg * (tp - pos / 2.0)) / nullif(max(p * q), 0), 4) as roc_auc, round(sum(pos * tp / (tp + fp)) / nullif(max(p), 0), 4) as avg_precision from c group by 1), cf as (select series_id, count(*) filter (truth = 1 and said = 1) as tp, count(*) filter (truth = 0 and said = 1) as fp, count(*) filter (truth = 1 and said = 0) as fn, count(*) filter (truth = 0 and said = 0) as tn from pv group by 1) select cf.*, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) as f1, tp + fn as n_true_anomalies, tp + fp as n_pred_anomalies, tp + fp + fn + tn as n_total, round((tp + fn) / (tp + fp + fn + tn), 4) as anomaly_rate_true, round((tp + fp) / (tp + fp + fn + tn), 4) as anomaly_rate_pred, roc_auc, avg_precision from cf join ar using (series_id)",
+    "detection_examples": f"with {_PV}, {_CAT}, t as (select distinct target_id, case when period is not null then 'transit' else 'normal' end as label_type from cat join pv on series_id = target_id), f as (select * from t qualify row_number() over (partition by label_type order by target_id) <= 3) select series_id, idx, label_type, truth, said as predicted, case when truth = said then 'T' else 'F' end || case when said = 1 then 'P' else 'N' end as outcome from pv join f on series_id = target_id",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,8 +65,8 @@ def _header(data: bytes, at: int) -> tuple[dict, int]:
 FORMS = {"L": "i1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S", "C": ">c8", "M": ">c16", "X": "u1", "P": ">i4", "Q": ">i8"}
 
 
-def fits_tables(data: bytes) -> tuple[dict, list[tuple[str, np.ndarray]]]:
-    """The first header, and (name, rows) of every binary table."""
+def fits_tables(data: bytes) -> tuple[dict, list[tuple[str, np.ndarray, dict]]]:
+    """The first header, and (name, rows as stored, header) of every binary table."""
     first: dict = {}
     tables, at = [], 0
     while at < len(data):
@@ -82,31 +83,44 @@ def fits_tables(data: bytes) -> tuple[dict, list[tuple[str, np.ndarray]]]:
                 n_of, kind = (-(-n_of // 8), kind) if kind == "X" else (n_of * 2, kind) if kind in "PQ" else (n_of, kind)
                 name = cards.get(f"TTYPE{k}", f"col{k}")
                 fields.append((name, f"S{n_of}") if kind == "A" else (name, FORMS[kind], (n_of,)) if n_of != 1 else (name, FORMS[kind]))
-            tables.append((cards.get("EXTNAME", ""), np.frombuffer(data, dtype=np.dtype(fields), count=int(cards["NAXIS2"]), offset=at)))
+            tables.append((cards.get("EXTNAME", ""), np.frombuffer(data, dtype=np.dtype(fields), count=int(cards["NAXIS2"]), offset=at), cards))
         size += int(cards.get("PCOUNT", 0))
         at += -(-size // 2880) * 2880
     return first, tables
 
 
+def fits_column(rows: np.ndarray, name: str, cards: dict) -> np.ndarray:
+    """A column's values: NaN where TNULLn stands, else TZEROn + TSCALn x what is stored."""
+    k = list(rows.dtype.names).index(name) + 1
+    stored = rows[name]
+    out = stored.astype(float)
+    if f"TSCAL{k}" in cards or f"TZERO{k}" in cards:
+        out = float(cards.get(f"TZERO{k}", 0)) + float(cards.get(f"TSCAL{k}", 1)) * out
+    if f"TNULL{k}" in cards and stored.dtype.kind in "iu":
+        out[stored == int(cards[f"TNULL{k}"])] = np.nan
+    return out
+
+
 def parse_fits(data: bytes) -> tuple[pd.DataFrame, dict[str, str]]:
     """time, flux and, where there, flux_err of the table LIGHTCURVE, else of the first; and what the first header says of the object."""
     head, tables = fits_tables(data)
     if not tables:
         raise ValueError("no table in the file")
-    rows = next((t for name, t in tables if name == "LIGHTCURVE"), tables[0][1])
+    _, rows, cards = next((t for t in tables if t[0] == "LIGHTCURVE"), tables[0])
     out = {}
     for name, known in (("time", TIME), ("flux", FLUX), ("flux_err", ERROR)):
         column = next((c for c in known if c in rows.dtype.names), None)
         if column is not None:
-            out[name] = rows[column].astype(float)
+            out[name] = fits_column(rows, column, cards)
     if not {"time", "flux"} <= set(out):
         raise ValueError(f"time and flux are not among {list(rows.dtype.names)}")
     return pd.DataFrame(out), {k: head.get(c, "Unknown") for k, c in (("object_name", "OBJECT"), ("telescope", "TELESCOP"), ("instrument", "INSTRUME"))}
 
 
 def read_curves(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
-    """series_id (the file's name), time, flux, flux_err, label (null without one), ord of all .csv, .txt, .dat, .fits and .fit files of a path.
+    """series_id, time, flux, flux_err, label (null without one), ord of all .csv, .txt, .dat, .fits and .fit files of a path.
 
+    series_id is the file's name without its suffix; names that several files have are told apart by their paths below `path`, with suffix.
     Suffixes may be of any case. A file that cannot be read, is of another kind or is over MOST_BYTES has no rows here:
     unreadable() tells. checked: cleaned, as every series is before use.
     """
@@ -134,8 +148,7 @@ def unreadable(spark: SparkSession, path: str) -> DataFrame:
 def _parsed(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, size, data in zip(pdf["path"], pdf["length"], pdf["content"], strict=True):
-                own = name.rsplit("/", 1)[-1]
+            for own, series_id, size, data in zip(pdf["file"], pdf["series_id"], pdf["length"], pdf["content"], strict=True):
                 suffix = own.rsplit(".", 1)[-1].lower()
                 rows, error = pd.DataFrame({"time": [None]}, dtype=float), None
                 try:
@@ -147,11 +160,17 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  (one bad file must not stop the others; it is reported)
                     error = str(e)
                 full = rows.reindex(columns=["time", "flux", "flux_err", "label"])
-                yield full.assign(series_id=own.rsplit(".", 1)[0], place=np.arange(len(full), dtype=np.int32), error=error, label=full["label"].astype("Int32"))[["series_id", "place", "time", "flux", "flux_err", "label", "error"]]
+                yield full.assign(series_id=series_id, place=np.arange(len(full), dtype=np.int32), error=error, label=full["label"].astype("Int32"))[["series_id", "place", "time", "flux", "flux_err", "label", "error"]]
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    file = F.element_at(F.split("path", "/"), -1)
+    bare = F.when(file.contains("."), F.regexp_extract(file, r"^(.*)\.[^.]*$", 1)).otherwise(file)
+    # Names first, from the listing alone: contents are not read for it. A list of names that clash is short.
+    clashes = files.select(bare.alias("bare")).groupBy("bare").agg(F.count("*").alias("n")).filter("n > 1").select("bare", F.lit(True).alias("clash"))
+    below = F.regexp_replace("path", "^.*?" + re.escape(path.rstrip("/").split(":", 1)[-1]) + "/", "")
+    named = files.withColumns({"file": file, "bare": bare}).join(clashes, "bare", "left").withColumn("series_id", F.when(F.col("clash"), below).otherwise(F.col("bare")))
     # Contents over the limit are not read into a row.
-    small = files.select("path", "length", F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(F.lit(b"")).alias("content"))
+    small = named.select("file", "series_id", "length", F.when(F.col("length") <= MOST_BYTES, F.col("content")).otherwise(F.lit(b"")).alias("content"))
     return small.mapInPandas(parse, SCHEMA)
 
 
