@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-HEADLINE = ["lc_summary", "sigma_clip", "win_stats", "window_features", "points_vote", "points_score", "transit_events", "phase_labels", "savgol", "periodogram", "lof_embeddings", "areas_by_type"]
+HEADLINE = ["lc_summary", "sigma_clip", "win_stats", "window_features", "points_vote", "points_score", "transit_events", "phase_labels", "savgol", "periodogram", "bls_features", "lof_embeddings", "dbscan_distance", "areas_by_type"]
 
 
 def main() -> None:

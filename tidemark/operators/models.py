@@ -460,7 +460,7 @@ def fitted(model: Model, df: DataFrame, vector_col: str = "features", id_col: st
     elif (table := model.over_rows()) is not None:
         model.table = table.fit(df, vector_col, id_col)
     else:
-        model.fit(sample(df, vector_col, id_col, rows))
+        model.fit(sample(df, vector_col, id_col, min(rows, getattr(model, "most", rows))))
     return model
 
 

@@ -1,7 +1,9 @@
-"""Periodograms: Lomb-Scargle by grouped sums, box least squares by blocks of periods."""
+"""Periodograms: Lomb-Scargle by added vectors of sums, box least squares by blocks of periods."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .clean import series
 
-#: Periods that one task searches.
-BLOCK = 25
+#: Periods that one task searches; series whose sums a task holds before it hands them on.
+BLOCK, HELD = 25, 1000
 
 
 def grid(df: DataFrame, n_frequencies: int) -> DataFrame:
@@ -21,19 +23,50 @@ def grid(df: DataFrame, n_frequencies: int) -> DataFrame:
     return stats.withColumn("low", low).withColumn("step", (high - low) / (n_frequencies - 1))
 
 
+def _sums(n_frequencies: int):
+    """Points (series_id, y, time, low, step) to partial sums a series: y cos, y sin, cos 2, sin 2 of every frequency end to end, and y y at last."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame({"series_id": list(held), "sums": list(held.values())})
+            held.clear()
+            return out
+
+        k = np.arange(n_frequencies)
+        for pdf in batches:
+            for key, part in pdf.groupby("series_id", sort=False):
+                w = part["low"].iloc[0] + k * part["step"].iloc[0]
+                total = held.setdefault(key, np.zeros(4 * n_frequencies + 1))
+                for at in range(0, len(part), 256):
+                    y, t = np.nan_to_num(part["y"].to_numpy(dtype=float)[at : at + 256]), part["time"].to_numpy()[at : at + 256]
+                    c, s = np.cos(np.outer(t, w)), np.sin(np.outer(t, w))
+                    total += np.concatenate([y @ c, y @ s, (c * c - s * s).sum(0), 2 * (c * s).sum(0), [y @ y]])
+            if len(held) > HELD:
+                yield rows()
+        if held:
+            yield rows()
+
+    return run
+
+
 def lomb_scargle(df: DataFrame, n_frequencies: int = 1000) -> DataFrame:
     """series_id, k, frequency, power (normalised): frequencies, taken as angular, from 1 / span to 1 / (2 median step).
 
-    Four sums a frequency, combined before the shuffle, give the power: a long series is never one task. Series without a
-    span or a step have no rows.
+    Four sums a frequency give the power. Each task adds its points up to one vector a series, and the vectors are added after the
+    shuffle: a long series is never one task's, and no point is copied. Series without a span or a step have no rows.
     """
-    at = df.select("series_id", "time", "flux").join(grid(df, n_frequencies).filter("span > 0 and cadence > 0"), "series_id").select("series_id", "n", (F.col("flux") - F.col("mean")).alias("y"), "time", "low", "step", F.explode(F.sequence(F.lit(0), F.lit(n_frequencies - 1))).alias("k"))
-    w = F.col("low") + F.col("k") * F.col("step")
-    c, s = F.cos(w * F.col("time")), F.sin(w * F.col("time"))
-    total = at.groupBy("series_id", "k").agg(
-        F.first("n").alias("n"), F.first(w).alias("frequency"), F.sum(F.col("y") * c).alias("yc"), F.sum(F.col("y") * s).alias("ys"), F.sum(F.col("y") * F.col("y")).alias("yy"),
-        F.sum(c * c - s * s).alias("c2"), F.sum(2 * c * s).alias("s2"),
-    )
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    ranges = grid(df, n_frequencies).filter("span > 0 and cadence > 0").select("series_id", "n", "mean", "low", "step")
+    points = df.select("series_id", "time", "flux").join(ranges, "series_id").select("series_id", (F.col("flux") - F.col("mean")).alias("y"), "time", "low", "step")
+    partial = points.mapInPandas(_sums(n_frequencies), f"series_id {dict(df.dtypes)['series_id']}, sums array<double>")
+    added = partial.groupBy("series_id").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    each = added.join(ranges, "series_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_frequencies - 1))))
+    at = lambda place: F.get("sums", F.col("k") + place * n_frequencies)
+    total = each.select("series_id", "k", "n", (F.col("low") + F.col("k") * F.col("step")).alias("frequency"), at(0).alias("yc"), at(1).alias("ys"), at(2).alias("c2"), at(3).alias("s2"), F.get("sums", F.lit(4 * n_frequencies)).alias("yy"))
     turn = F.atan2("s2", "c2") / 2
     rotated = total.withColumn("a", F.col("yc") * F.cos(turn) + F.col("ys") * F.sin(turn)).withColumn("b", F.col("ys") * F.cos(turn) - F.col("yc") * F.sin(turn)).withColumn("r", F.sqrt(F.col("c2") * F.col("c2") + F.col("s2") * F.col("s2")))
     power = (F.try_divide(F.col("a") * F.col("a"), (F.col("n") + F.col("r")) / 2) + F.try_divide(F.col("b") * F.col("b"), (F.col("n") - F.col("r")) / 2)) / F.col("yy")

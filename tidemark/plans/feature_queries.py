@@ -95,7 +95,7 @@ def bls_features(s, d):
 
 
 def bls_detector(s, d):
-    return P.box_detector(B.lc_daily(s, d), 100).select("series_id", "time", "is_anomaly")
+    return P.box_detector(B.lc_daily(s, d)).select("series_id", "time", "is_anomaly")
 
 
 def _scored_windows(s, d):
