@@ -1,4 +1,10 @@
-"""Documents to packed training sequences: STAGES in order, each over all that its predecessor kept."""
+"""Documents to packed training sequences: STAGES in order, each over all that its predecessor kept.
+
+Defined results, as each operator's module states them: the quality stage judges a null text as an empty one; null and empty texts that stay are
+copies of each other, of which near dedup keeps one row, and so are repeated rows; documents without an id pass line dedup unchanged; very long texts are
+read whole; ties are as in the modules. A table without rows gives none. All stages but the last return the columns of documents,
+whatever they are called. The stages' files stay in a folder of their own, pipeline-<id>, under spark.checkpoint.dir.
+"""
 
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ The byte-pair model is fitted on a bounded sample (`SAMPLE` documents a language
 markup or address: their source is their host. Defined results: null or empty text leaves the decision to the other
 evidence, at worst to the overall prior; a null host has the overall prior; without labelled rows lang is null; of languages
 that tie the first by name wins; repeated rows are judged row by row, each a part of its host's prior; no rows give none. Very
-long texts are counted whole. Id columns may have any names but text, declared, suffix, domain and host.
+long texts are counted whole. Id columns must not bear the names of the other columns (text,
+declared, suffix, domain, host) or of those that are made on the way (such as p, w, q1, d, meets, n_host): Spark then reports a name that exists already.
 """
 
 from __future__ import annotations

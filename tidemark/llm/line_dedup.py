@@ -12,7 +12,7 @@ lines, a passage is found only if both ends of a chunk fall inside it, which los
 Defined results. Null text stays null and empty text empty; a text of one line stays. Documents with a null doc_id are left as
 they are. Rows that share a doc_id are one place in the order: what first occurs under that id stays in all of them. Repeated
 rows are treated alike. A repeat of a single line is never removed; of a repeat that begins or ends inside a line that part
-stays. Very long texts are cut like others. n_chunks_removed counts the lines that went. Columns of docs may have any names.
+stays. Very long texts are cut like others. n_chunks_removed counts the lines that went. Columns of docs may have any names; a table without rows gives none.
 """
 
 from __future__ import annotations

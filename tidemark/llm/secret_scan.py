@@ -7,7 +7,8 @@ All of it is DataFrame functions.
 
 Places are code points, end exclusive. A pattern's matches are the leftmost that do not overlap; as many texts lie between
 them, their lengths give the places. Tokens that overlap a pattern's span add none. Null or empty text has no spans;
-repeated rows are scanned row by row.
+repeated rows are scanned row by row. Texts of any length are scanned whole, in their row. Spans that begin at the same place stand in the order of
+their kinds. A table without rows gives none; columns of docs may have any names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ it, and a place `margin` characters before a chunk's end cannot be moved by text
 of the whole text. Where no such place is found, the next chunk starts further back, at worst where the last one did, with
 a longer reach. Tokens are never truncated, padded or added.
 
-Defined results: null text counts as empty, 0 bytes and 0 tokens. Rows are independent: repeated ids stay repeated.
+Defined results: null text counts as empty, 0 bytes and 0 tokens. Rows are independent: repeated ids stay repeated, also null ones.
+Texts of any length are counted whole; no two rows are compared, so nothing ties. A table without rows gives none; only the id and the text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
