@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.clean import count_below
 from tidemark.sources.shared import stored
 
 
@@ -30,7 +31,7 @@ def curve(df: DataFrame, by: str) -> DataFrame:
     """
     at = df.groupBy(by, "score").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
     whole = at.groupBy(F.col(by).alias("__by")).agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000).alias("__cuts"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    ranged = at.join(whole, F.col(by).eqNullSafe(F.col("__by"))).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c >= F.col("score"))), F.lit(0))).drop("__by", "__cuts")
+    ranged = at.join(whole, F.col(by).eqNullSafe(F.col("__by"))).withColumn("__range", F.coalesce(F.size("__cuts") - count_below("__cuts", F.col("score"), RANGES - 1), F.lit(0))).drop("__by", "__cuts")
     above = Window.partitionBy("__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__at")).agg(F.sum("pos").alias("__pos"), F.sum("neg").alias("__neg"))
     sums = sums.select("__by", "__at", F.coalesce(F.sum("__pos").over(above), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__neg").over(above), F.lit(0)).alias("__fp"))
