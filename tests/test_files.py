@@ -65,6 +65,19 @@ def test_names_that_clash(spark, tmp_path):
     assert got == {"a/x.csv": 15, "b/x.csv": 15, "b/x.fits": 12, "y": 15, "z.v2": 15}
 
 
+def test_columns_by_name_and_missing_paths(spark, tmp_path):
+    rows = [("a", 20.0 - k, float(k), None) for k in range(12)] + [("a", float("nan"), 1.0, None), ("b", 1.0, 2.0, 0.5)]
+    df = spark.createDataFrame(rows, "star string, t double, `f.x` double, e double")
+    got = files.from_columns(df, "t", "f.x", "e", "star").toPandas().sort_values("time")
+    assert set(got.series_id) == {"a"} and got.time.tolist() == [float(k) for k in range(9, 21)] and got.flux.iloc[0] == 11
+    assert got.flux_err.iloc[0] == pytest.approx(0.01 * np.std(np.arange(12), ddof=1))
+    assert files.from_columns(df, "t", "f.x").count() == 13
+    with pytest.raises(ValueError):
+        files.from_columns(df, "t", "flux")
+    with pytest.raises(FileNotFoundError):
+        files.read_curves(spark, f"{tmp_path}/none")
+
+
 def test_folder_of_curves(spark, tmp_path):
     (tmp_path / "one.CSV").write_text("time,flux\n" + "".join(f"{20 - k},{k}\n" for k in range(20)) + "inf,1\n3,nan\n")
     (tmp_path / "two.fits").write_bytes(fits(["TIME", "SAP_FLUX", "QUALITY", "SAP_FLUX_ERR"], ["D", "E", "2J", "E"], curve(), "OTHER"))

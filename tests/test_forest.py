@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import forest
+from tidemark.operators import models as M
 
 
 def test_forest_of_a_table(spark, tmp_path):
@@ -46,3 +47,17 @@ def test_forest_of_a_table(spark, tmp_path):
     assert forest.Forest(trees=3).fit(alike).score(alike).filter("is_anomaly").count() == 0
     with pytest.raises(ValueError):
         forest.Forest().fit(df.limit(0))
+
+
+def test_detector_methods(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(rng.normal(size=(120, 3)))], "id long, features array<double>")
+    d = M.Detector(0.1)
+    with pytest.raises(ValueError):
+        d.predict(df)
+    d.fit(df)
+    with pytest.raises(ValueError):
+        d.predict(df, "none of that name")
+    got = {m: {r.id: (r.score, r.is_anomaly) for r in d.predict(df, m).collect()} for m in d.METHODS}
+    one, two, both = (got[m] for m in d.METHODS)
+    assert both == {i: (pytest.approx((one[i][0] + two[i][0]) / 2), one[i][1] and two[i][1]) for i in one}

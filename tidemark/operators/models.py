@@ -368,6 +368,27 @@ class Autoencoder(Model):
         return -((self._run(z, self.weights) - z) ** 2).mean(1)
 
 
+class Detector:
+    """A forest and LOF of one table behind one call: method "isolation_forest", "lof" or "ensemble" (an anomaly where both say so, the mean of their scores)."""
+
+    METHODS = ("isolation_forest", "lof", "ensemble")
+
+    def __init__(self, contamination: float = 0.1, seed: int = 42):
+        self.contamination, self.seed, self.both = contamination, seed, None
+
+    def fit(self, df: DataFrame, vector_col: str = "features", id_col: str = "id") -> Detector:
+        self.both = fitted(BothAgree(self.contamination, self.seed), df, vector_col, id_col)
+        return self
+
+    def predict(self, df: DataFrame, method: str = "ensemble", vector_col: str = "features") -> DataFrame:
+        """df with score and is_anomaly; rows without a vector have neither."""
+        if self.both is None:
+            raise ValueError("a detector is fitted before it predicts")
+        if method not in self.METHODS:
+            raise ValueError(f"no method {method}; there are {', '.join(self.METHODS)}")
+        return scored(df, dict(zip(self.METHODS, (*self.both.parts, self.both), strict=True))[method], vector_col)
+
+
 def recalibrated(model: Model, x: np.ndarray) -> Model:
     """The model with its threshold, and if it has lost its scale that too, taken from x."""
     if getattr(model, "centre", None) is None:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,9 +129,26 @@ def read_curves(spark: SparkSession, path: str, checked: bool = True) -> DataFra
     curves = good.select("series_id", "time", "flux", "flux_err", "label", F.struct("time", "place").alias("ord"))
     if not checked:
         return curves
-    kept = clean(curves)
-    usual = 0.01 * F.stddev_samp("flux").over(_by_series())
     # A file without errors gets one hundredth of its spread.
+    return _with_errors(clean(curves))
+
+
+def from_columns(df: DataFrame, time: str = "time", flux: str = "flux", flux_err: str | None = None, series_id: str | None = None, label: str | None = None) -> DataFrame:
+    """Curves out of any table by the names of its columns: series_id, time, flux, flux_err, label, ord, cleaned as curves from files are.
+
+    Without series_id all rows are one series, "all"; without errors each series gets one hundredth of its spread.
+    """
+    missing = [c for c in (time, flux, flux_err, series_id, label) if c is not None and c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {df.columns}")
+    told = lambda c, kind: F.lit(None).cast(kind) if c is None else F.col(f"`{c}`").cast(kind)
+    key = F.lit("all") if series_id is None else F.col(f"`{series_id}`")
+    curves = df.select(key.alias("series_id"), told(time, "double").alias("time"), told(flux, "double").alias("flux"), told(flux_err, "double").alias("flux_err"), told(label, "int").alias("label"))
+    return _with_errors(clean(curves.withColumn("ord", F.struct("time", "flux"))))
+
+
+def _with_errors(kept: DataFrame) -> DataFrame:
+    usual = 0.01 * F.stddev_samp("flux").over(_by_series())
     return kept.withColumn("flux_err", F.when(F.count("flux_err").over(_by_series()) == 0, usual).otherwise(F.col("flux_err")))
 
 
@@ -162,7 +180,12 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
                 full = rows.reindex(columns=["time", "flux", "flux_err", "label"])
                 yield full.assign(series_id=series_id, place=np.arange(len(full), dtype=np.int32), error=error, label=full["label"].astype("Int32"))[["series_id", "place", "time", "flux", "flux_err", "label", "error"]]
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no file {path}") from None
+        raise
     file = F.element_at(F.split("path", "/"), -1)
     bare = F.when(file.contains("."), F.regexp_extract(file, r"^(.*)\.[^.]*$", 1)).otherwise(file)
     # Names first, from the listing alone: contents are not read for it. A list of names that clash is short.
