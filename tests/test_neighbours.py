@@ -84,7 +84,7 @@ def test_models_over_more_rows_than_a_sample_holds(spark):
 
     for eps in (0.35, 1.0):
         said = D.ClusterDistance(0.02, eps, 5)
-        got = said.fit(df).score(df).select("id", "score", "is_anomaly").toPandas().sort_values("id")
+        got = said.fit_score(df).select("id", "score", "is_anomaly").toPandas().sort_values("id")
         core = np.concatenate([(distances(z[i : i + 500], z) <= eps).sum(1) >= 5 for i in range(0, len(z), 500)])
         member = np.concatenate([(distances(z[i : i + 500], z[core]) <= eps).any(1) for i in range(0, len(z), 500)])
         score = -np.concatenate([distances(z[i : i + 500], z[member]).min(1) for i in range(0, len(z), 500)])
@@ -106,8 +106,8 @@ def test_models_of_odd_tables(spark, tmp_path):
     for model, kind in ((D.NeighbourFactor(0.1, 7), D.NeighbourFactor), (D.ClusterDistance(0.1, 0.8), D.ClusterDistance)):
         model.fit(rows)
         got = {r.id: (r.score, r.is_anomaly, r.z, r.vid) for r in model.score(other).collect()}
-        if kind is D.NeighbourFactor:
-            assert {r.id: r.score for r in D.NeighbourFactor(0.1, 7).fit_score(rows).collect()} == {k: v[0] for k, v in got.items() if k < 200}
+        again = D.NeighbourFactor(0.1, 7) if kind is D.NeighbourFactor else D.ClusterDistance(0.1, 0.8)
+        assert {r.id: r.score for r in again.fit_score(rows).collect()} == {k: v[0] for k, v in got.items() if k < 200}
         assert len(got) == 202 and got[500][:2] == (None, None) and got[501][0] is not None
         model.save(f"{tmp_path}/{kind.__name__}")
         again = kind.load(spark, f"{tmp_path}/{kind.__name__}")

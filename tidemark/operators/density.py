@@ -153,7 +153,8 @@ class ClusterDistance(_Scorer):
         if core.isEmpty():
             return self
         near = N.within(every, N.deal(vectors.join(core, "vid"), self.pivots), self.eps).filter("n > 0").select("vid")
-        self.members = N.deal(vectors.join(near, "vid"), self.pivots)
+        self._inside, self._outside = vectors.join(near, "vid"), vectors.join(near, "vid", "left_anti")
+        self.members = N.deal(self._inside, self.pivots)
         return self
 
     def score(self, df: DataFrame, vector_col: str = "features") -> DataFrame:
@@ -161,7 +162,22 @@ class ClusterDistance(_Scorer):
         if self.members is None:
             there = F.col(vector_col).isNotNull()
             return df.withColumn("score", F.when(there, 0.0)).withColumn("is_anomaly", F.when(there, False))
-        far = lambda queries: N.nearest(queries, self.members, 1).select("vid", (0.0 - F.get("near", F.lit(0))["distance"]).alias("score"))
-        scored = stored(self._met(df, vector_col, far), "scores")
+        return self._judged(self._met(df, vector_col, self._far))
+
+    def _far(self, queries: N.Blocks) -> DataFrame:
+        return N.nearest(queries, self.members, 1).select("vid", (0.0 - F.get("near", F.lit(0))["distance"]).alias("score"))
+
+    def _judged(self, scored: DataFrame) -> DataFrame:
+        scored = stored(scored, "scores")
         cut = N.exact_quantile(scored, "score", self.contamination)
         return scored.withColumn("is_anomaly", F.col("score") < F.lit(cut))
+
+    def fit_score(self, df: DataFrame, vector_col: str = "features", id_col: str = "id") -> DataFrame:
+        """score() of the rows that the model is fitted on: rows of clusters have distance 0, and only the others are searched for."""
+        self.fit(df, vector_col, id_col)
+        if self.members is None:
+            return self.score(df, vector_col)
+        known, outside = self._inside.select("z", F.lit(0.0).alias("score")), stored(self._outside.select("vid", "n", "z"), "outside")
+        if not outside.isEmpty():
+            known = known.unionByName(outside.join(self._far(N.deal(outside, self.pivots)), "vid").select("z", "score"))
+        return self._judged(self._met(df, vector_col, known=known))

@@ -487,7 +487,7 @@ def fitted(model: Model, df: DataFrame, vector_col: str = "features", id_col: st
 
 def fit_scored(df: DataFrame, model: Model, vector_col: str = "features", id_col: str = "id") -> DataFrame:
     """scored() of the rows that the model is fitted on here, in one go where the model can."""
-    if isinstance(table := model.over_rows(), density.NeighbourFactor):
+    if isinstance(table := model.over_rows(), (density.NeighbourFactor, density.ClusterDistance)):
         model.table = table
         return table.fit_score(df, vector_col, id_col)
     return scored(df, fitted(model, df, vector_col, id_col), vector_col)
