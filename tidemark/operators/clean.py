@@ -40,6 +40,16 @@ def denormalize(df: DataFrame) -> DataFrame:
     return df.withColumn("flux", F.col("flux") * F.col("flux_std") + F.col("flux_mean")) if "flux_mean" in df.columns else df
 
 
+#: Points that a task is meant to have in spread().
+TASK = 1_000_000
+
+
+def spread(df: DataFrame, most: int = TASK) -> DataFrame:
+    """df dealt by series to tasks of about `most` points, if the session's shuffles would make fewer; what works by series then needs no other shuffle. Counts the rows."""
+    tasks = -(-df.count() // most)
+    return df.repartition(tasks, "series_id") if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def index_points(df: DataFrame) -> DataFrame:
     """idx from 0 and n, the series' length, in the total order `ord`."""
     return df.withColumn("idx", F.row_number().over(series().orderBy("ord")) - 1).withColumn("n", F.count("*").over(series()))
