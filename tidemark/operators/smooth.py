@@ -19,8 +19,10 @@ def fill_gaps(df: DataFrame, max_gap: float | None = None, limit: int = 5, cols:
     A part's last nulls take the first value of the parts after it."""
     points, parts = by_part(_indexed(df), limit)
     order = parts.orderBy("idx")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, 0)
     long = "__own" in points.columns
+    # The next value by one look ahead: a frame up to the end would be read again for every point.
+    ahead = F.expr(f"lead(__at, 1) ignore nulls over (partition by series_id{', __in' if long else ''} order by idx)")
     if max_gap is None:
         points = points.withColumn("__fill", F.lit(True))
     else:
@@ -32,7 +34,7 @@ def fill_gaps(df: DataFrame, max_gap: float | None = None, limit: int = 5, cols:
             points = points.withColumn("__fill", F.coalesce(F.max("__dt").over(series()) >= max_gap, F.lit(False))).drop("__dt")
     for c in cols:
         at = F.when(F.col(c).isNotNull(), F.struct("idx", F.col(c).alias("v")))
-        points = points.withColumn("__a", F.last(at, ignorenulls=True).over(back)).withColumn("__b", F.first(at, ignorenulls=True).over(ahead))
+        points = points.withColumn("__at", at).withColumn("__a", F.last("__at", ignorenulls=True).over(back)).withColumn("__b", ahead)
         if long:
             later = Window.partitionBy("series_id").orderBy("__in").rowsBetween(1, Window.unboundedFollowing)
             firsts = points.filter("__own").groupBy("series_id", "__in").agg(F.min(at).alias("__f"))
@@ -40,7 +42,7 @@ def fill_gaps(df: DataFrame, max_gap: float | None = None, limit: int = 5, cols:
         run = F.col("idx") - F.col("__a.idx")
         line = F.col("__a.v") + F.coalesce((F.col("__b.v") - F.col("__a.v")) * run / (F.col("__b.idx") - F.col("__a.idx")), F.lit(0.0))
         points = points.withColumn(c, F.when(F.col(c).isNull() & F.col("__fill") & (run <= limit), line).otherwise(F.col(c)))
-    return own_only(points.drop("__a", "__b", "__fill"))
+    return own_only(points.drop("__at", "__a", "__b", "__fill"))
 
 
 def preprocess(df: DataFrame, sigma: float = 5.0, max_gap: float | None = None) -> DataFrame:

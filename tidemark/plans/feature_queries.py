@@ -56,7 +56,7 @@ def window_features(s, d):
 
 
 def _gappy(s, d):
-    rows = C.index_points(B.lc_supplier(s, d))
+    rows = C.index_points(C.spread(B.lc_supplier(s, d)))
     return rows.withColumn("flux", F.when(F.col("ord.l_partkey") % 3 == 0, F.col("flux")))
 
 
@@ -67,7 +67,7 @@ def fill_gaps(s, d):
 
 
 def preprocess(s, d):
-    return _keyed(S.preprocess(B.lc_supplier(s, d), 2.0), "flux")
+    return _keyed(S.preprocess(C.spread(B.lc_supplier(s, d)), 2.0), "flux")
 
 
 def first_difference(s, d):
@@ -99,7 +99,7 @@ def bls_detector(s, d):
 
 
 def _scored_windows(s, d):
-    rows = B.lc_supplier(s, d)
+    rows = C.spread(B.lc_supplier(s, d))
     return rows, W.members(rows).groupBy("series_id", "window_id").agg(F.max("label").alias("flag"), (-F.round(F.max("flux") - F.min("flux"))).alias("score"))
 
 
