@@ -35,10 +35,11 @@ def run(spark: SparkSession, tables: str, out: str, window: int = 50, sigma: flo
     if mission is not None:
         targets = targets.filter(F.col("mission") == mission)
         curves = curves.join(targets.select(F.col("target_id").alias("series_id")), "series_id", "left_semi")
-    points = C.normalize(C.sigma_clip(C.clean(curves, least_points), sigma))
-    labelled = D.phase_labels(points.drop("label"), targets).withColumn("label", F.col("in_transit"))
+    points = C.normalize(C.sigma_clip(C.clean(C.spread(curves), least_points), sigma))
+    # Both outputs are of the same points: they are made once.
+    labelled = C.index_points(D.phase_labels(points.drop("label"), targets).withColumn("label", F.col("in_transit"))).select("series_id", "idx", "n", "flux", "label").persist()
     known = targets.select(F.col("target_id").alias("series_id"), "mission", F.when(F.col("period").isNotNull(), "transit").otherwise("normal").alias("label_type"))
-    windows = W.statistics(labelled.select("series_id", "ord", "flux", "label"), window).join(known, "series_id")
+    windows = W.statistics(labelled, window).join(known, "series_id")
     metadata = E.dataset_metadata(labelled, targets)
 
     how = "static" if mission is None else "dynamic"
@@ -46,6 +47,7 @@ def run(spark: SparkSession, tables: str, out: str, window: int = 50, sigma: flo
         # One file a partition and task would be many small ones: rows of a mission meet first, spread by target.
         spread = rows.repartition("mission", F.pmod(F.xxhash64("series_id" if name == "windows" else "target_id"), F.lit(16)))
         spread.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy(*by).parquet(f"{out}/{name}")
+    labelled.unpersist()
     # Sets without a row have no file to tell their columns.
     written = spark.read.schema(windows.select(*[c for c in windows.columns if c not in ("mission", "label_type")], "mission", "label_type").schema).parquet(f"{out}/windows")
     told = spark.read.schema(metadata.schema).parquet(f"{out}/metadata").agg(F.count("*"), F.coalesce(F.sum("n_points"), F.lit(0))).first()
