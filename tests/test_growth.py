@@ -4,9 +4,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean as C
+from tidemark.operators import density as D
+from tidemark.operators import models as M
 from tidemark.operators import neighbours as N
 from tidemark.operators import smooth as S
 from tidemark.operators import windows as W
+from tidemark.plans import experiments as T
 
 
 def plan(df):
@@ -48,3 +51,36 @@ def test_gaps_are_filled_without_a_frame_to_the_end(spark):
     filled = S.fill_gaps(points)
     assert "specifiedwindowframe(RowFrame, currentrow$(), unboundedfollowing$())" not in plan(filled)
     assert filled.filter("idx < 39999 and abs(flux - idx) > 1e-9").count() == 0
+
+
+def test_folds_share_one_search(spark, monkeypatch):
+    """Many pivots and blocks; copies within and between folds, more than neighbours; a constant component, a far row, rows without a vector."""
+    for name, value in (("ROWS", 40), ("CELL", 60)):
+        monkeypatch.setattr(N, name, value)
+    x = np.random.default_rng(3).normal(size=(400, 6))
+    x[50:130], x[:, 4], x[7, 2] = x[50], 2.0, 1e9
+    rows = spark.createDataFrame([(i, None if i % 97 == 96 else v.tolist(), int(i % 5 == 0), i * 7 % 3) for i, v in enumerate(x)], "id long, features array<double>, truth int, fold int")
+    got = {r.id: (r.score, r.is_anomaly) for r in D.NeighbourFactor(neighbours=4).cross_score(rows, 3).collect()}
+    want = {}
+    for fold in range(3):
+        model = D.NeighbourFactor(neighbours=4).fit(rows.filter(F.col("fold") != fold))
+        want |= {r.id: (r.score, r.is_anomaly) for r in model.score(rows.filter(F.col("fold") == fold)).collect()}
+    assert got.keys() == want.keys() and len(got) == 400
+    for k, (score, odd) in want.items():
+        assert got[k][1] == odd and (score is None) == (got[k][0] is None)
+        assert score is None or abs(got[k][0] - score) <= 1e-6 * abs(score)
+    searches = []
+    own = N._nearest
+    monkeypatch.setattr(N, "_nearest", lambda *a: searches.append(1) or own(*a))
+    assert T.cross_validate(rows, lambda: M.LocalOutlierFactor(neighbours=4), 3).count() == 3
+    assert len(searches) == 1
+
+
+def test_quantiles_of_groups_are_exact(spark):
+    x = np.random.default_rng(5).normal(size=30_000)
+    x[:9000:2] = 0.25
+    rows = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)] + [(2, 1.5)], "g int, x double")
+    for q in (0.0, 0.1, 0.5, 0.77, 1.0):
+        got = N.exact_quantiles(rows, "x", q, "g")
+        assert got.keys() == {0, 1, 2} and got[2] == 1.5
+        assert all(abs(got[g] - np.quantile(x[g::2], q)) < 1e-12 for g in (0, 1))

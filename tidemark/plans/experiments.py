@@ -15,6 +15,7 @@ from tidemark.operators import models as M
 from tidemark.operators import periods as P
 from tidemark.operators import windows as W
 from tidemark.operators.clean import clean, index_points, summary
+from tidemark.operators.density import NeighbourFactor
 from tidemark.operators.smooth import preprocess
 from tidemark.sources.shared import stored
 
@@ -42,8 +43,12 @@ def metrics(scored: DataFrame, *by: str) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, factory: Callable[[], M.Model], k: int = 5, strategy: str = "stratified") -> DataFrame:
-    """fold and its metrics: each fold's rows are scored by a model of the others'. The dealt rows and the scored ones are stored once."""
+    """fold and its metrics: each fold's rows are scored by a model of the others'. The dealt rows and the scored ones are stored once.
+
+    The outlier factor's models of all folds share one search for neighbours."""
     dealt = stored(E.folds(rows.drop("fold"), k, "id", strategy).select("id", "fold", "features", "truth"), "folds")
+    if isinstance(table := factory().over_rows(), NeighbourFactor):
+        return metrics(stored(table.cross_score(dealt, k).drop("features"), "scored"), "fold")
     every = None
     for fold in range(k):
         model = M.fitted(factory(), dealt.filter(F.col("fold") != fold))
