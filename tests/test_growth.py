@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean as C
 from tidemark.operators import density as D
+from tidemark.operators import features as X
+from tidemark.operators import forest as O
 from tidemark.operators import models as M
 from tidemark.operators import neighbours as N
 from tidemark.operators import smooth as S
 from tidemark.operators import windows as W
 from tidemark.plans import experiments as T
+from tidemark.sources.shared import arrow_rows
 
 
 def plan(df):
@@ -84,3 +87,44 @@ def test_quantiles_of_groups_are_exact(spark):
         got = N.exact_quantiles(rows, "x", q, "g")
         assert got.keys() == {0, 1, 2} and got[2] == 1.5
         assert all(abs(got[g] - np.quantile(x[g::2], q)) < 1e-12 for g in (0, 1))
+
+
+def test_windows_are_cut_in_order_without_gathering(spark):
+    """Batches of a few points: windows over batches' borders, series of one window, of none, labels with nulls; equal to the windows gathered point by point."""
+    rng = np.random.default_rng(4)
+    rows = [(name, float(k // 2), float(v), None if k % 5 == 0 else int(k % 40 == 7), k) for name, n in (("a", 300), ("b", 49), ("c", 50), ("d", 61), ("e", 62)) for k, v in enumerate(rng.normal(size=n))]
+    points = spark.createDataFrame(rows, "series_id string, time double, flux double, label int, k int").select("series_id", "time", "flux", "label", F.struct("time", "k").alias("ord")).repartition(3)
+    parted = C.index_points(points).withColumn("part", F.lit(0))
+    want = {(r.series_id, r.window_id): r for r in X.features(parted).collect()}
+    assert len(want) == 21 + 0 + 1 + 1 + 2
+    for df in (points, C.index_points(points)):
+        with arrow_rows(spark, 7):
+            found = X.features(df)
+            assert found.schema == X.features(parted).schema
+            got = {(r.series_id, r.window_id): r for r in found.collect()}
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            assert got[k].label == r.label
+            assert all((got[k][c] is None) == (r[c] is None) and (r[c] is None or abs(got[k][c] - r[c]) <= 1e-9 * max(1, abs(r[c]))) for c in X.names())
+    # Places that are gone take their windows with them; the others keep their numbers.
+    missing = C.index_points(points).filter("series_id = 'a' and idx not in (100, 150)")
+    assert {r.window_id for r in X.features(missing).collect()} == {w for w in range(21) if not any(12 * w <= i < 12 * w + 50 for i in (100, 150))}
+    assert "collect_list" not in plan(X.features(points)) and "Generate" not in plan(X.features(points))
+
+
+def test_rows_are_made_and_scored_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, v.tolist() if i != 9 else None) for i, v in enumerate(np.random.default_rng(6).normal(size=(300, 5)))], "id long, features array<double>")
+    forest = O.Forest(trees=20, sample=64)
+    want = {r.id: (r.score, r.is_anomaly) for r in forest.fit(rows).score(rows).collect()}
+    passes = []
+    own = O.Forest._scored
+    monkeypatch.setattr(O.Forest, "_scored", lambda *a: passes.append(1) or own(*a))
+    got = M.fit_scored(rows, M.IsolationForest(trees=20, sample=64), keep=["id"])
+    assert got.columns == ["id", "score", "is_anomaly"] and len(passes) == 1
+    assert {r.id: (r.score, r.is_anomaly) for r in got.collect()} == want
+
+
+def test_points_are_sorted_once(spark):
+    points = spark.range(600).select((F.col("id") % 4).alias("series_id"), F.col("id").cast("double").alias("time"), F.col("id").cast("double").alias("flux"), F.struct("id").alias("ord"))
+    for df in (points, C.spread(points, 100)):
+        assert plan(X.features(df)).split("== Initial Plan ==")[-1].count("Sort [") == 1

@@ -1,15 +1,17 @@
-"""The 38 window features by group, from one array a window: each group is matrix arithmetic over a batch of windows."""
+"""The 38 window features by group: each group is matrix arithmetic over a batch of windows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import members
+from .clean import series
+from .windows import members, stride_of
 
 SCALES = (2, 4, 8, 16, 32)
 #: The features of each group, in the model matrix's order.
@@ -63,6 +65,7 @@ def frequency(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
     return [*top.T, freq[size.argmax(1)], entropy, share @ freq, freq[roll]]
 
 
+@lru_cache(maxsize=64)
 def ricker(n: int, scale: int) -> np.ndarray:
     """The (n, n) matrix that takes a window to its Mexican-hat coefficients at a scale.
 
@@ -118,23 +121,60 @@ def shape(x: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
 _OF: dict[str, Callable] = {"statistical": statistical, "frequency": frequency, "wavelet": wavelet, "autocorrelation": autocorrelation, "shape": shape}
 
 
+def _finished(own: list, x: np.ndarray, t: np.ndarray, wanted: list[str], columns: list[str]) -> pa.RecordBatch:
+    """The columns of some windows with their features beside them."""
+    with np.errstate(all="ignore"):
+        values = [v for g in wanted for v in _OF[g](x, t)] if len(x) else [np.zeros(0)] * len(names(wanted))
+    out = [pa.array(np.asarray(v, dtype=float), pa.float64(), mask=~np.isfinite(v)) for v in values]
+    return pa.RecordBatch.from_arrays([*own, *out], names=columns)
+
+
 def features(df: DataFrame, ws: int = 50, groups: list[str] | None = None) -> DataFrame:
     """series_id, window_id, label (if df has one) and the features of the groups (all: 38). A value that is not finite, such as
-    the skewness of a constant window, is null. Only groups that are asked for are computed."""
+    the skewness of a constant window, is null. Only groups that are asked for are computed.
+
+    A task reads its series' points in order and cuts the windows out of them, so no point is multiplied or collected; a series in parts
+    (`cut_points`) is no one task's, and its windows are gathered point by point.
+    """
     wanted = [g for g in GROUPS if groups is None or g in groups]
-    held = arrays(df, ws)
-    own = [c for c in held.columns if c not in ("t", "x")]
+    told = ["label"] if "label" in df.columns else []
+    columns, numbers = ["series_id", "window_id", *told, *names(wanted)], "".join(f", {c} double" for c in names(wanted))
+    kinds = dict(df.dtypes)
+    label = f", label {kinds['label']}" if told else ""
+    if "part" in df.columns:
+
+        def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t, x = (np.asarray(b.column(2 + len(told) + k).flatten(), dtype=float).reshape(-1, ws) for k in range(2))
+                yield _finished(b.columns[: 2 + len(told)], x, t, wanted, columns)
+
+        return arrays(df, ws).mapInArrow(computed, f"series_id {kinds['series_id']}, window_id int{label}{numbers}")
+
+    st = stride_of(ws)
 
-    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
         for b in batches:
-            t, x = (np.asarray(b.column(len(own) + k).flatten(), dtype=float).reshape(-1, ws) for k in range(2))
-            with np.errstate(all="ignore"):
-                values = [v for g in wanted for v in _OF[g](x, t)]
-            out = [pa.array(np.asarray(v, dtype=float), pa.float64(), mask=~np.isfinite(v)) for v in values]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *out], names=[*own, *names(wanted)])
-
-    kinds = dict(held.dtypes)
-    return held.mapInArrow(computed, ", ".join(f"`{c}` {kinds[c]}" for c in own) + "".join(f", {c} double" for c in names(wanted)))
+            rest.append(b)
+            b = pa.Table.from_batches(rest).combine_chunks()
+            held = len(b) - ws + 1
+            rest = b.slice(max(0, held)).to_batches()
+            if held <= 0:
+                continue
+            # A window's last point is ws - 1 on if no other series begins between, and no place of a given idx is missing.
+            k, place = b.column(1).to_numpy(), b.column(2).to_numpy()
+            at = np.flatnonzero((place[:held] % st == 0) & (k[ws - 1 :] == k[:held] + ws - 1) & (place[ws - 1 :] == place[:held] + ws - 1))
+            t, x, *y = (np.lib.stride_tricks.sliding_window_view(b.column(3 + c).to_numpy().astype(float, copy=False), ws)[at] for c in range(2 + len(told)))
+            largest = [np.fmax.reduce(v, axis=1) for v in y]
+            own = [b.column(0).take(pa.array(at)).combine_chunks(), pa.array(place[at] // st, pa.int32()), *[pa.array(v, pa.float64(), mask=np.isnan(v)) for v in largest]]
+            yield _finished(own, x, t, wanted, columns)
+
+    order = "idx" if "idx" in df.columns else "ord"
+    k = F.row_number().over(series().orderBy(order))
+    place = F.col("idx") if order == "idx" else k - 1
+    ordered = df.select("series_id", order, k.alias("k"), place.alias("place"), *[F.col(c).cast("double").alias(c) for c in ("time", "flux", *told)]).sortWithinPartitions("series_id", order)
+    found = ordered.drop(order).mapInArrow(cut, f"series_id {kinds['series_id']}, window_id int{', label double' if told else ''}{numbers}")
+    return found.withColumn("label", F.col("label").cast(kinds["label"])) if told else found
 
 
 def model_matrix(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
