@@ -56,3 +56,25 @@ def test_lists_leave_few_rows_to_search(spark, monkeypatch):
         far.clear()
         got = M.fit_scored_both(rows_of(spark, x), M.LocalOutlierFactor(0.1, 4), M.DensityClusters(0.01, 0.4, 4))
         assert got.count() == len(x) and far == want
+
+
+def test_blocks_of_queries_are_sent_once_a_part(spark, monkeypatch):
+    for name, value in (("ROWS", 40), ("CELL", 60), ("PARTS", 2)):
+        monkeypatch.setattr(N, name, value)
+    vectors = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(600, 8)))], "vid long, n long, z array<double>")
+    blocks = N.deal(vectors, N.pivots_of(vectors))
+    cells = [r.cell for r in blocks.rows.select("cell").collect()]
+    pairs = N._everywhere(blocks.rows.withColumn("limit", F.transform("vid", lambda _: F.lit(99.0))), blocks, others=True)
+    sent, limits, met = pairs.agg(F.count("za"), F.count("limit"), F.count("zb")).first()
+    assert met == sum(a != b for a in cells for b in cells)
+    assert len(cells) <= sent == limits <= 2 * len(cells) < met
+
+
+def test_rows_without_a_candidate_are_left_out():
+    rng = np.random.default_rng(7)
+    for kind in (np.float32, np.float64):
+        low, most = rng.random((50, 70)).astype(kind), rng.random(50) * 0.03
+        low[3], low[4, 5], most[6], most[7], low[8, 9] = np.inf, np.nan, np.inf, -1.0, most[8]
+        for rows in (slice(None), slice(6, 7), slice(0, 0)):
+            want = np.nonzero(low[rows] <= np.nextafter(most[rows].astype(kind), np.inf)[:, None])
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(N._Compared.under(low[rows], most[rows]), want, strict=True))
